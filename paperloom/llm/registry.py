@@ -31,11 +31,50 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import secret_scan
+
+    return secret_scan.query(table(spark, sf_dir, "documents"))
+
+
+def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import sstable
+
+    return sstable.query(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import simhash
+
+    return simhash.query(table(spark, sf_dir, "documents"))
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import mixture
+
+    return mixture.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import language_id
+
+    return language_id.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op4_secrets": op4_secrets,
+        "op6_sstable": op6_sstable,
+        "op7_simhash": op7_simhash,
+        "op8_mixture": op8_mixture,
+        "op9_language": op9_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from paperloom.llm import mixture
+
+    return {
+        "op8_mixture": mixture.SQL,
+    }
