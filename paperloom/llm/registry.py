@@ -37,6 +37,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.query(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import quality
+
+    return quality.query(table(spark, sf_dir, "documents"))
+
+
 def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm import sstable
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op4_secrets": op4_secrets,
+        "op5_quality": op5_quality,
         "op6_sstable": op6_sstable,
         "op7_simhash": op7_simhash,
         "op8_mixture": op8_mixture,
