@@ -1,12 +1,69 @@
-"""A training corpus from raw documents: quality rules, near-dedup, secrets, mixture, token ids."""
+"""A training corpus from raw documents, in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`` writes as Parquet in the shared folder
+and reads again as the next stage's ``docs``. All but the last return the columns of documents.
+
+1. quality: documents that the quality rules reject go.
+2. near_dedup: of each group of near-duplicates, the document with the smallest id stays. Groups are those of
+   op7_simhash: fingerprints of four-word shingles that differ in 4 bits or fewer, and what these links connect.
+3. secrets: found secrets are masked in the text and n_chars follows; no document goes.
+4. mixture: each document is repeated as often as the mix of sources takes it, or goes if the mix takes it never.
+5. tokens: SentencePiece ids of every text, with their number and digests of the ids and of the decoded text.
+
+SQL can't express the trained and hashed stages, so there is none; the tests hold run() against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import mixture, quality, secret_scan, sentencepiece_codec, simhash
+from paperloom.llm.common import materialize, table
+from paperloom.llm.registry import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secret_scan.redact(docs)
+    n_chars = F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
+    return masked.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixture.apply_mix(docs, table(spark, sf_dir, "labels"))
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(
+        docs,
+        tokenizer_path("piece_bpe_32k.model"),
+        outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"),
+        keep=["doc_id", "lang", "source"],
+    )
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("secrets", secrets_stage),
+    ("mixture", mixture_stage),
+    ("tokens", tokens_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages, applied to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

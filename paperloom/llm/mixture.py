@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import WORD, materialize, without
+from paperloom.llm.common import WORD, materialize
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -89,7 +89,7 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     aims = aims.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     aims = materialize(aims.withColumnRenamed("source", "s"), "targets")
     spread = F.greatest(F.lit(1.0), F.col("n") / PER_RANGE)
-    placed = rows.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s", "n_docs")
+    placed = rows.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("range", F.floor(F.log(F.greatest(F.col("key"), F.lit(1e-300))) * spread))
     ranges = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,29 +135,29 @@ def mix(
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as the mix has them: each row as often as it is taken, those taken never left out; columns as they are.
+    """``docs`` as the mix has them: each row as often as it is taken, rows taken never left out; columns as they are.
 
-    Of rows with equal id, source and size, each is repeated as often as one of them is, taken in any order.
+    Rows with equal id, source and size are taken as often as any of them: those with the lesser text hash first.
     """
     taken = _taken(sized(docs, labels, id_col, text_col, source_col), WEIGHTS, MOST_PASSES)
-    counts = taken.where("passes > 0").groupBy("id", "source", "size").agg(F.sort_array(F.collect_list("passes"), asc=False).alias("passes"))
-    counts = counts.select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "passes")
-    frame = without(docs, ["__n"])
+    # Rows that agree share a key, so their counts differ by one at most.
+    counts = taken.groupBy("id", "source", "size").agg(
+        F.count(F.lit(1)).alias("n"), F.min("passes").alias("least"), F.sum("passes").alias("sum")
+    )
+    counts = counts.where("sum > 0").select(
+        F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "least", (F.col("sum") - F.col("least") * F.col("n")).alias("more")
+    )
     size = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(f"({WORD})")).cast("long")
-    frame = frame.withColumn("__n", size)
-    joined = frame.join(
-        counts,
+    joined = docs.withColumn("__n", size).join(
+        materialize(counts, "taken"),
         F.col(f"`{id_col}`").eqNullSafe(F.col("__i"))
         & F.col(f"`{source_col}`").eqNullSafe(F.col("__s"))
         & (F.col("__n") == F.col("__z")),
     )
-    single = joined.where("size(passes) = 1").withColumn("__k", F.col("passes")[0])
-    # Rows that agree in id, source and size: numbered, so that each gets its own count.
-    several = joined.where("size(passes) > 1").withColumn(
-        "__k",
-        F.get(F.col("passes"), F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64(f"`{text_col}`"))) - 1),
-    )
-    repeated = single.unionByName(several).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
+    single = joined.where("more = 0").withColumn("__k", F.col("least"))
+    place = F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))
+    several = joined.where("more > 0").withColumn("__k", F.col("least") + F.when(place <= F.col("more"), 1).otherwise(0))
+    repeated = single.unionByName(several).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -208,7 +208,7 @@ def estimates(counted: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", ids: list[str] | None = None) -> DataFrame:
-    """Columns ``ids`` (default: all but the text) with the five counts, ``base_failed`` and ``kept``.
+    """Columns ``ids`` (default: all but the text; one named like a new column is replaced) with the five counts, ``base_failed`` and ``kept``.
 
     Groups are (language, source), null being a value of its own; a group with fewer than LEAST_ROWS documents joins its
     language's, and a language with fewer joins the whole. Documents that the fixed rules reject take no part in the
@@ -245,7 +245,17 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     failed = placed.where("base_failed").withColumn("kept", F.lit(False))
     out = [*carried, *STATS, "base_failed", "kept"]
     both = passed.select(*out).unionByName(failed.select(*out))
-    return both.select(*[F.col(f"__id{k}").alias(c) for k, c in enumerate(ids)], *STATS, "base_failed", "kept")
+    taken = {*STATS, "base_failed", "kept"}
+    shown = [F.col(f"__id{k}").alias(c) for k, c in enumerate(ids) if c.lower() not in taken]
+    return both.select(*shown, *STATS, "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, columns as they are."""
+    inner = [f"__col{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, inner))
+    found = judged(docs.toDF(*inner), at[text_col], at[lang_col], at[source_col], ids=inner)
+    return found.where("kept").select(*[F.col(i).alias(c) for c, i in at.items()])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import mtree
+
+    return mtree.query(table(spark, sf_dir, "embeddings"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import url_filter
+
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm import secret_scan
 
@@ -67,21 +79,31 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm import warc
+
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_mtree": op2_mtree,
+        "op3_urls": op3_urls,
         "op4_secrets": op4_secrets,
         "op5_quality": op5_quality,
         "op6_sstable": op6_sstable,
         "op7_simhash": op7_simhash,
         "op8_mixture": op8_mixture,
         "op9_language": op9_language,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from paperloom.llm import mixture
+    from paperloom.llm import mixture, mtree
 
     return {
+        "op2_mtree": mtree.SQL,
         "op8_mixture": mixture.SQL,
     }

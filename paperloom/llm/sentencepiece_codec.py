@@ -391,7 +391,7 @@ def encode_decode(
                 ids = own.encode(group)
                 decoded = own.decode(ids) if {"decoded", "decoded_sha256"} & cols.keys() else []
                 if "ids" in cols:
-                    cols["ids"] += ids
+                    cols["ids"] += [np.array(x, dtype=np.int32) for x in ids]
                 if "n_tokens" in cols:
                     cols["n_tokens"] += map(len, ids)
                 if "ids_sha256" in cols:
