@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,8 +107,6 @@ def bytes_string_to_string(c: Column, encoding: str = "utf-8") -> Column:
 
 def replace_mime_encodings(c: Column, encoding: str = "utf-8") -> Column:
     """Quoted-printable decoded; an Arrow pass, since SQL has no such function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(s: pd.Series) -> pd.Series:
         import quopri

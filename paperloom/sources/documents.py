@@ -11,7 +11,10 @@ DOCUMENT = "path string, modificationTime timestamp, length long, content binary
 
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """path, modificationTime, length and content of files; ``path`` may be a folder or a pattern."""
+    """path, modificationTime, length and content of files; ``path`` may be a folder or a pattern.
+
+    Spark's reader leaves files of no bytes out.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
