@@ -114,7 +114,7 @@ def test_partition_rows(spark, tmp_path):
     chunked = partition.partition(docs.where("path like '%a.md'"), chunking_strategy="basic").first()
     assert chunked["elements"][0]["type"] == "CompositeElement" and len(chunked["elements"][0]["orig_elements"]) == 2
     nulls = spark.createDataFrame([(None, 1)], "content binary, elements int")
-    assert partition.partition(nulls).first().asDict() == {"elements": None, "error": None}
+    assert partition.partition(nulls).first().asDict() == {"content": None, "elements": None, "error": None}
     flat = partition.explode_elements(partition.partition(docs).select("path", "elements"))
     assert flat.columns[:3] == ["path", "pos", "type"] and staging.filter_element_types(flat, include=["Title"]).count() == 1
     assert staging.filter_element_types(flat, exclude=["Title"]).count() == 2
