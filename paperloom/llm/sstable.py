@@ -9,11 +9,12 @@ Data block: entries, then the offsets of its restart entries (u32 each), their n
 key's rest, the value. Every RESTART-th entry shares nothing, so a block is searched by bisection over its restarts.
 Index block: for each data block u32 length of its last key, the key, u64 offset, u32 length, u32 entries.
 Bloom filter: u32 hash functions, then the bits. Footer (72 bytes, little-endian): u64 index offset, u64 index length, u64
-filter offset, u64 filter length, u64 documents, u64 tokens, u32 blocks, u32 end id, u32 CRC-32 of index and filter, 4
-bytes of padding, 8 bytes of magic.
+filter offset, u64 filter length, u64 documents, u64 tokens, u32 blocks, u32 end id, u32 CRC-32 of index and filter, u32
+bytes of an id, 8 bytes of magic.
 
 Key: one byte (0 null id, 1 otherwise), the id as 8 big-endian bytes with its sign bit flipped, and a 4-byte ordinal that
-tells rows of one id apart; byte order is id order, nulls first. Value: ids as little-endian u32, the end id last.
+tells rows of one id apart; byte order is id order, nulls first. Value: ids as little-endian
+integers, the end id last; an id takes 2 bytes if the vocabulary allows it, else 4.
 
 Shards are written from range-partitioned, sorted rows: first under a name of the attempt, then renamed, so a task that
 runs again after an executor is lost replaces its shard by the same bytes.
@@ -28,6 +29,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +38,12 @@ from pyspark.sql.window import Window
 from paperloom.llm.common import materialize, scratch_path
 
 MAGIC = b"PLSSTAB1"
-FOOTER = struct.Struct("<QQQQQQIII4x8s")
+FOOTER = struct.Struct("<QQQQQQIIII8s")
 BLOCK_BYTES, RESTART = 64 * 1024, 16
 SHARD_BYTES = 8 * 1024 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Distinct pieces of text that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 600_000
 
 
 def _varint(n: int) -> bytes:
@@ -70,6 +72,11 @@ def key_of(doc_id: int | None, ordinal: int = 0) -> bytes:
     return b"\1" + struct.pack(">QI", (doc_id + (1 << 63)) & ((1 << 64) - 1), ordinal)
 
 
+def wide(value: bytes, width: int) -> bytes:
+    """A value as little-endian u32."""
+    return value if width == 4 else np.frombuffer(value, dtype="<u2").astype("<u4").tobytes()
+
+
 def id_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key[1:9])[0] - (1 << 63) if key[0] else None
 
@@ -85,8 +92,8 @@ def _bloom_places(key: bytes, bits: int) -> Iterator[int]:
 class ShardWriter:
     """Builds one shard in memory; keys come in ascending order."""
 
-    def __init__(self, end_id: int):
-        self.end_id = end_id
+    def __init__(self, end_id: int, width: int = 4):
+        self.end_id, self.width = end_id, width
         self.data, self.index, self.keys = bytearray(), bytearray(), []
         self.tokens = self.blocks = 0
         self._start()
@@ -105,7 +112,7 @@ class ShardWriter:
         self.last = key
         self.entries += 1
         self.keys.append(key)
-        self.tokens += len(value) // 4
+        self.tokens += len(value) // self.width
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -132,7 +139,8 @@ class ShardWriter:
         index = bytes(self.index)
         at = len(self.data)
         footer = FOOTER.pack(
-            at, len(index), at + len(index), len(bloom), len(self.keys), self.tokens, self.blocks, self.end_id, zlib.crc32(index + bloom), MAGIC
+            at, len(index), at + len(index), len(bloom), len(self.keys), self.tokens, self.blocks, self.end_id, zlib.crc32(index + bloom),
+            self.width, MAGIC
         )
         return bytes(self.data) + index + bloom + footer
 
@@ -142,7 +150,9 @@ class Shard:
 
     def __init__(self, read):
         self.read = read
-        at, n, bloom_at, bloom_n, self.documents, self.tokens, self.blocks, self.end_id, crc, magic = FOOTER.unpack(read(-FOOTER.size, FOOTER.size))
+        at, n, bloom_at, bloom_n, self.documents, self.tokens, self.blocks, self.end_id, crc, self.width, magic = FOOTER.unpack(
+            read(-FOOTER.size, FOOTER.size)
+        )
         if magic != MAGIC:
             raise ValueError("not a shard")
         index, bloom = read(at, n), read(bloom_at, bloom_n)
@@ -203,8 +213,9 @@ class Shard:
 class WordIds:
     """Token ids of whole texts by the tokenizers library, remembered by what stands between white space.
 
-    The tokenizer drops white space before it splits further, so text between blanks or line feeds is encoded alone;
-    pieces met for the first time are encoded together, kept apart by a special token.
+    The tokenizer drops white space, lower-cases, and cuts letters from what is no letter, so text between blanks or line
+    feeds is encoded alone, ASCII capitals are the same as small letters, and a period or comma behind letters stands for
+    itself. Words that this doesn't lead back to known ones are encoded together; a token that ends a word ends its ids.
     """
 
     def __init__(self, path: str):
@@ -214,35 +225,57 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = [t for t in self.library.get_added_tokens_decoder().items() if t[1].special]
-        self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
+        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        tokens = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        out = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        return [struct.pack(f"<{len(x)}I", *x) for x in out]
-
-    def _learn(self, pieces: list[str]) -> None:
-        odd = [p for p in pieces if self.mark is None or "<|" in p or self.mark in p]
-        self.known.update(zip(odd, self._encode(odd)))
-        rest = [p for p in pieces if p not in self.known]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            ids = self.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids
-            cut = [-1, *[i for i, x in enumerate(ids) if x == self.mark_id], len(ids)]
-            if len(cut) != len(part) + 1:
-                self.known.update(zip(part, self._encode(part)))
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _encode(self, pieces: list[str]) -> None:
+        out = self.library.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
+        self.known.update(zip(pieces, (self.pack(e.ids) for e in out)))
+
+    def _learn(self, pieces: set[str]) -> None:
+        known = self.known
+        plain = {p for p in pieces if "<" not in p}  # special tokens hold it
+        self._encode(list(pieces - plain))
+        lower = {p: p.encode().lower().decode() for p in plain}
+        # A word with a period or comma behind it: (word, what follows).
+        ends: dict[str, tuple[str, str]] = {}
+        need = set()
+        for low in set(lower.values()).difference(known):
+            head = low.rstrip(".,")
+            if head.isalpha() and len(head) < len(low):
+                ends[low] = head, low[len(head) :]
+                need.update(ends[low])
+            else:
+                need.add(low)
+        rest = need.difference(known)
+        words = [p for p in rest if p.isalpha()]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends_here = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends_here) != len(part):  # a word that isn't cut off by its last token
+                self._encode(part)
                 continue
-            self.known.update((p, struct.pack(f"<{b - a - 1}I", *ids[a + 1 : b])) for p, a, b in zip(part, cut, cut[1:]))
+            whole, cut = self.pack(ids.tolist()), [0, *(self.width * ends_here).tolist()]
+            known.update(zip(part, (whole[a:b] for a, b in zip(cut, cut[1:]))))
+        self._encode(list(rest.difference(words)))
+        known.update((low, known[head] + known[tail]) for low, (head, tail) in ends.items())
+        known.update((p, known[low]) for p, low in lower.items())
 
     def values(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = set(chain.from_iterable(cut)).difference(self.known)
         if fresh:
-            if len(self.known) + len(fresh) > REMEMBER:
+            if len(self.known) + 2 * len(fresh) > REMEMBER:
                 self.known.clear()
                 fresh = set(chain.from_iterable(cut))
-            self._learn(list(fresh))
+            self._learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -305,7 +338,7 @@ def write_shards(
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     yield i, t or ""
 
-        end, shard, last, ordinal = struct.pack("<I", end_id), ShardWriter(end_id), object(), 0
+        end, shard, last, ordinal = own.pack([end_id]), ShardWriter(end_id, own.width), object(), 0
         for group in _grouped(rows()):
             for (i, _), value in zip(group, own.values([t for _, t in group])):
                 ordinal = ordinal + 1 if i == last else 0
@@ -313,7 +346,7 @@ def write_shards(
                 shard.add(key_of(i, ordinal), value + end)
                 if shard.size() >= SHARD_BYTES:
                     close(shard)
-                    shard = ShardWriter(end_id)
+                    shard = ShardWriter(end_id, own.width)
         if shard.keys:
             close(shard)
         if done:
@@ -343,11 +376,12 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for batch in batches:
             for content, start in zip(batch.column(0), batch.column(1).to_pylist()):
                 ids, at, values = [], [], []
-                for key, value in Shard.of(content.as_py()).entries():
+                shard = Shard.of(content.as_py())
+                for key, value in shard.entries():
                     ids.append(id_of(key))
                     at.append(start)
-                    values.append(value)
-                    start += len(value) // 4
+                    values.append(wide(value, shard.width))
+                    start += len(value) // shard.width
                     if len(ids) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "start", "ids"])
                         ids, at, values = [], [], []
@@ -367,7 +401,8 @@ def lookup(folder: str, files: list[str], doc_id: int | None) -> list[bytes]:
     for name in files:
         with store.open_input_file(f"{base}/{name}") as f:
             size = f.size()
-            found += Shard(lambda at, n: f.read_at(n, at if at >= 0 else size + at)).get(doc_id)
+            shard = Shard(lambda at, n: f.read_at(n, at if at >= 0 else size + at))
+            found += [wide(v, shard.width) for v in shard.get(doc_id)]
     return found
 
 
