@@ -93,7 +93,8 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
     padded = np.zeros(words * 64, dtype="<u8")
     padded[: len(prints)] = prints
     bits = np.unpackbits(padded.view(np.uint8).reshape(words, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").reshape(64, words * 8).view("<u8")
+    packed = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed.reshape(64, words * 8)).view("<u8")
 
 
 def close_lanes(
