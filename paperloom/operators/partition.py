@@ -130,9 +130,11 @@ def partition(docs: DataFrame, **options) -> DataFrame:
 
 
 def explode_elements(docs: DataFrame, column: str = "elements") -> DataFrame:
-    """One row per element: the other columns, ``pos`` and the element's fields."""
+    """One row per element: the other columns, ``pos`` and the element's fields. A null or empty array gives no row."""
     names = [c for c in docs.columns if c != column]
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.posexplode(column).alias("pos", "e")).select(
+    # Not a plain posexplode: the planner would filter by the array's size first, and so compute the array twice and more.
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.posexplode_outer(column).alias("pos", "e")).where("pos is not null")
+    return rows.select(
         *[F.col(f"`{c}`") for c in names], "pos", "e.*"
     )
 

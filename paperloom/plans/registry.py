@@ -32,8 +32,14 @@ def sql_strip(x: str) -> str:
 LINES = r"SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer splits than there are cores is dealt out; a larger one stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +193,8 @@ def partition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of every document, with their hash ids."""
-    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(parts.paragraphs(F.col("text"))).alias("pos", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(parts.paragraphs(F.col("text"))).alias("pos", "text"))
+    docs = docs.where("pos is not null")
     return relational.assign_ids(docs).select("doc_id", F.col("pos").cast("long").alias("pos"), "text", "element_id")
 
 
@@ -250,7 +257,7 @@ FROM w
 
 
 def partition_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     found = parts.partition_column(pages, "html", "text/html").drop("html", "error")
     return parts.explode_elements(found).select("page_id", "pos", "type", "text", "element_id", "metadata", F.to_json("metadata").alias("facts")).drop("metadata")
 
