@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF and CR (RE2 and Java read it alike).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch that are in Python objects at a time.
+SLICE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +86,11 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = compute(*[batch.column(at[c]).to_pylist() for c in inputs])
-            arrays = [batch.column(c) for c in carried] + [pa.array(v, type=k) for v, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                out = compute(*[batch.column(at[c]).to_pylist() for c in inputs])
+                arrays = [batch.column(c) for c in carried] + [pa.array(v, type=k) for v, k in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
 
     return frame.mapInArrow(run, schema)
