@@ -6,7 +6,8 @@ Scratch tables are Parquet files under the folder named by ``spark.checkpoint.di
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are in Python objects at a time.
 SLICE_ROWS = 1000
+#: The folder of a local session that names none; it goes when the process ends.
+_OWN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +39,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints", "paperloom")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="paperloom-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
