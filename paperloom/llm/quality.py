@@ -171,32 +171,30 @@ def _nearest(rows: DataFrame, measure: str, share: float) -> DataFrame:
     whole = Window.partitionBy("g")
     counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(whole))
     limits = counts.where(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.min("b").alias("limit"))
+    limits = materialize(limits, "limits")  # a row per group: its size decides how it is joined
     return rows.join(limits, "g").where(_bin(F.col(measure)) <= F.col("limit")).drop("limit")
 
 
-def _middle(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """(g, name): the median of a column by counts over steps of 2^-10."""
+def _middles(rows: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """(g, names...): the medians of columns by counts over steps of 2^-10; a row per group, written for its size."""
     step = 1024.0
-    counts = rows.groupBy("g", F.floor(F.col(column) * step).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    order, whole = Window.partitionBy("g").orderBy("b"), Window.partitionBy("g")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(c) * step).alias("b")) for k, c in enumerate(columns)]))
+    counts = rows.select("g", each.alias("x")).groupBy("g", "x.k", "x.b").agg(F.count(F.lit(1)).alias("n"))
+    order, whole = Window.partitionBy("g", "k").orderBy("b"), Window.partitionBy("g", "k")
     counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(whole))
-    return counts.where(F.col("upto") * 2 >= F.col("all")).groupBy("g").agg(((F.min("b") + 0.5) / step).alias(name))
+    middle = counts.where(F.col("upto") * 2 >= F.col("all")).groupBy("g", "k").agg(((F.min("b") + 0.5) / step).alias("m"))
+    wide = middle.groupBy("g").agg(*[F.max(F.when(F.col("k") == k, F.col("m"))).alias(n) for k, n in enumerate(names)])
+    return materialize(wide, "medians")
 
 
 def estimates(counted: DataFrame) -> DataFrame:
     """(g, x...) of documents that no fixed rule rejects -> g, means and Cholesky factors."""
     rows = counted
     # Start: the nearest by coordinates scaled with medians and median deviations.
-    start = rows
-    for i, x in enumerate(X):
-        start = start.join(_middle(rows, x, f"med{i}"), "g")
+    start = rows.join(_middles(rows, X, [f"med{i}" for i in range(D)]), "g")
     start = start.select("g", *X, *[F.abs(F.col(x) - F.col(f"med{i}")).alias(f"a{i}") for i, x in enumerate(X)])
     start = materialize(start, "start")
-    scales = None
-    for i in range(D):
-        s = _middle(start, f"a{i}", f"mad{i}")
-        scales = s if scales is None else scales.join(s, "g")
-    scaled = start.join(scales, "g")
+    scaled = start.join(_middles(start, [f"a{i}" for i in range(D)], [f"mad{i}" for i in range(D)]), "g")
     total = sum((F.pow(F.col(f"a{i}") / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(FLOOR[i])), 2) for i in range(1, D)),
                 F.pow(F.col("a0") / F.greatest(1.4826 * F.col("mad0"), F.lit(FLOOR[0])), 2))
     scaled = scaled.select("g", *X, total.alias("d2"))
