@@ -4,8 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`
 and reads again as the next stage's ``docs``. All but the last return the columns of documents.
 
 1. quality: documents that the quality rules reject go.
-2. near_dedup: of each group of near-duplicates, the document with the smallest id stays. Groups are those of
-   op7_simhash: fingerprints of four-word shingles that differ in 4 bits or fewer, and what these links connect.
+2. near_dedup: of each group of near-duplicates, the document with the smallest id stays. Groups are what
+   links connect: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 3. secrets: found secrets are masked in the text and n_chars follows; no document goes.
 4. mixture: each document is repeated as often as the mix of sources takes it, or goes if the mix takes it never.
 5. tokens: SentencePiece ids of every text, with their number and digests of the ids and of the decoded text.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixture, quality, secret_scan, sentencepiece_codec, simhash
+from paperloom.llm import jaccard, mixture, quality, secret_scan, sentencepiece_codec
 from paperloom.llm.common import materialize, table
 from paperloom.llm.registry import tokenizer_path
 
@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    return jaccard.near_dedup(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

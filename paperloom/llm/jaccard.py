@@ -1,0 +1,206 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+A text is the set of its shingles of WIDTH words (64-bit hashes; ASCII letters in lower case). Two texts link if their sets
+share at least four fifths of their union. Texts of equal sets are one node. Candidates are nodes that agree in one of
+BANDS bands of ROWS MinHash values: at a similarity of 0.8 a link has no band with probability (1 - 0.8^4)^24 = 3e-6, and
+less above. Within a bucket every link is confirmed on the sets, so nothing below 0.8 links.
+
+A bucket is searched breadth-first: a node is compared with all that are not reached yet, so buckets of near copies, which
+are reached at once, take a few passes over their sets. Buckets of more than TILE nodes are cut into tiles. The first bands
+are searched within tiles only; then all buckets whose nodes are not yet connected, by all pairs of tiles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paperloom.llm import simhash
+from paperloom.llm.common import append_columns, materialize, without
+from paperloom.llm.components import connected_components
+
+WIDTH = 5
+BANDS, ROWS = 24, 4
+#: Bands that are searched first, within tiles.
+FIRST = 4
+#: Nodes of a bucket up to which it is one tile.
+TILE = 2048
+#: Bytes of sets that a task holds before it compares the groups that are whole.
+HELD = 32 << 20
+
+_RANDOM = np.random.default_rng(42)
+_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MIX = _RANDOM.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted different hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    joined = b" ".join(words)
+    ends = [e + k for k, e in enumerate(accumulate(map(len, words)))]
+    starts = [0] + [e + 1 for e in ends]
+    return np.unique(np.array([xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends[width - 1 :] or ends[-1:])], dtype="<u8"))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The BANDS bucket keys of a set that isn't empty."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(found), 4096):
+        part = found[at : at + 4096]
+        np.minimum(least, (part[None, :] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
+    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def with_bands(df: DataFrame, text_col: str, node: str, keys: str) -> DataFrame:
+    """Add ``node`` (long, equal for equal sets, 0 for an empty one) and ``keys`` (array of bucket keys)."""
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        def compute(texts: list[str | None]) -> tuple:
+            sets = [shingles(t) for t in texts]
+            names = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], dtype=np.uint64)
+            return names.view(np.int64), [bands(s) if len(s) else [] for s in sets]
+
+        return compute
+
+    return append_columns(df, [text_col], make, [T.StructField(node, T.LongType()), T.StructField(keys, T.ArrayType(T.LongType()))])
+
+
+def links(sets: list[np.ndarray], known: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that, with the classes ``known`` of what is connected already, connect what links among the sets."""
+    edges: list[tuple[int, int]] = []
+    if len(sets) < 2 or (known == known[0]).all():
+        return edges
+    size = np.array([len(s) for s in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(size)])
+    kind = np.unique(known, return_inverse=True)[1]
+    own = [np.flatnonzero(kind == k) for k in range(kind.max() + 1)] if len(sets) < 64 else np.split(
+        np.argsort(kind, kind="stable"), np.cumsum(np.bincount(kind))[:-1]
+    )
+    mark = np.zeros(len(values), dtype=bool)
+    waiting = np.ones(len(sets), dtype=bool)
+    left = np.arange(len(sets))  # a superset of the waiting, with their elements
+    left_place, left_first = place, first[:-1]
+    for start in range(len(sets)):
+        if not waiting[start]:
+            continue
+        queue = list(own[kind[start]])
+        waiting[own[kind[start]]] = False
+        while queue:
+            q = queue.pop()
+            n = int(waiting.sum())
+            if not n:
+                return edges
+            if 2 * n < len(left):
+                left = np.flatnonzero(waiting)
+                left_first = np.concatenate([[0], np.cumsum(size[left])[:-1]])
+                left_place = np.concatenate([place[first[k] : first[k + 1]] for k in left])
+            mark[place[first[q] : first[q + 1]]] = True
+            common = np.add.reduceat(mark[left_place], left_first, dtype=np.int64)
+            mark[place[first[q] : first[q + 1]]] = False
+            hits = left[waiting[left] & (9 * common >= 4 * (size[left] + size[q]))]  # common / union >= 4 / 5
+            for j in hits:
+                if waiting[j]:
+                    edges.append((int(q), int(j)))
+                    waiting[own[kind[j]]] = False
+                    queue += list(own[kind[j]])
+    return edges
+
+
+def _compare_groups(batches: Iterator) -> Iterator:
+    """Arrow batches (t, key, lo, hi, node, known, shingles) sorted by group -> edges; groups are whole in a partition."""
+    import pyarrow as pa
+
+    names = ("t", "key", "lo", "hi")
+
+    def edges(t: pa.Table) -> pa.RecordBatch:
+        cols = [t.column(c).to_numpy() for c in names]
+        node, known, sets = t.column("node").to_numpy(), t.column("known").to_numpy(), t.column("shingles")
+        new = np.ones(len(node), dtype=bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        starts = np.flatnonzero(new)
+        u, v = [], []
+        for a, b in zip(starts, np.append(starts[1:], len(node))):
+            held = [np.frombuffer(sets[k].as_buffer(), dtype="<u8") for k in range(a, b)]
+            for i, j in links(held, known[a:b]):
+                u.append(node[a + i])
+                v.append(node[a + j])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            t = pa.Table.from_batches(held).combine_chunks()
+            same = np.all([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in names], axis=0)
+            cut = int(np.argmax(same))  # sorted: the last group's rows are the last rows
+            if cut:
+                yield edges(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+    if held:
+        yield edges(pa.Table.from_batches(held).combine_chunks())
+
+
+def _search(members: DataFrame, sets: DataFrame, across: bool, name: str) -> DataFrame:
+    """(t, key, n, node, known) -> edges (u, v), written; buckets of the same nodes are searched once."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    live = members.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("a"), F.max("known").alias("b"), *marks)
+    once = live.where("a <> b").groupBy("n", "m1", "m2").agg(F.min(F.struct("t", "key")).alias("x")).select("x.t", "x.key")
+    rows = members.join(materialize(once, f"{name}-buckets"), ["t", "key"])
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rows = rows.withColumn("tiles", tiles).withColumn("chunk", F.pmod(F.xxhash64("node", "t"), "tiles").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if across else F.col("chunk")
+    rows = rows.withColumn("other", other).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
+    rows = rows.select("t", "key", "lo", "hi", "node", "known").join(sets, "node")
+    group = ["t", "key", "lo", "hi"]
+    rows = rows.select(*group, "node", "known", "shingles").repartition(*group).sortWithinPartitions(*group, "node")
+    return materialize(rows.mapInArrow(_compare_groups, "u long, v long"), name)
+
+
+def similar(frame: DataFrame, text_col: str, node: str, keys: str, row: str) -> DataFrame:
+    """(node, root) of the nodes that are linked to a smaller one. ``frame`` is a written table; ``row`` numbers its rows."""
+    keyed = frame.select(F.col(node).alias("node"), F.posexplode(keys).alias("t", "key")).distinct()
+    keyed = materialize(keyed, "bands")
+    several = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(keyed.join(several, ["t", "key"]).select("t", "key", "n", "node"), "members")
+    one = frame.groupBy(F.col(node).alias("node")).agg(F.min(row).alias("row"))
+    one = materialize(one.join(members.select("node").distinct(), "node").select("row"), "rows-to-read")
+
+    def make():
+        return lambda texts: ([shingles(t).tobytes() for t in texts],)
+
+    texts = frame.select(F.col(node).alias("node"), F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")).join(one, "row")
+    sets = materialize(append_columns(texts, ["text"], make, [T.StructField("shingles", T.BinaryType())], keep=["node"]), "sets")
+    early = _search(members.where(F.col("t") < FIRST).withColumn("known", F.col("node")), sets, False, "first-links")
+    roots = connected_components(early, "first-linked")
+    rest = members.join(roots, "node", "left").where((F.col("t") >= FIRST) | (F.col("n") > TILE))
+    rest = rest.select("t", "key", "n", "node", F.coalesce("root", "node").alias("known"))
+    return connected_components(early.unionByName(_search(rest, sets, True, "links")), "linked")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (nulls last); one of them if rows repeat.
+
+    Columns stay as they are. Texts without words are copies of each other. Texts are written once, with their bucket keys.
+    """
+    node, keys, row = inner = ["__pl_node", "__pl_keys", "__pl_row"]
+    frame = with_bands(without(docs, inner), text_col, node, keys).withColumn(row, F.monotonically_increasing_id())
+    frame = materialize(frame, "with-bands")
+    roots = similar(frame, text_col, node, keys, row)
+    small = frame.select(F.col(f"`{id_col}`").alias("id"), F.col(node).alias("fp"))
+    return simhash.least_rows(frame, id_col, node, small, simhash.labelled(small, lambda nodes: roots), docs.columns)

@@ -14,7 +14,7 @@ returns only the edges of a spanning forest of its links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -255,18 +255,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _components(prints: DataFrame, radius: int) -> DataFrame:
     """(id, fp) -> (id, fp, root_fp, component_id)."""
+    return labelled(prints, lambda nodes: connected_components(link_edges(nodes.select("fp"), nodes.count(), radius), "linked"))
+
+
+def labelled(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, fp) -> (id, fp, root_fp, component_id); ``find`` gives (node, root) of the linked among the different fp."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(link_edges(nodes.select("fp"), nodes.count(), radius), "linked")
+    roots = find(nodes)
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     joined = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component_least"))
     named = materialize(members.join(least, "root"), "named")
-    labelled = nodes.join(named, nodes["fp"] == named["node"], "left").select(
+    placed = nodes.join(named, nodes["fp"] == named["node"], "left").select(
         F.col("fp"),
         F.coalesce("root", "fp").alias("root_fp"),
         F.when(F.col("root").isNotNull(), F.col("component_least")).otherwise(F.col("least")).alias("component_id"),
     )
-    return prints.join(labelled, "fp").select("id", "fp", "root_fp", "component_id")
+    return prints.join(placed, "fp").select("id", "fp", "root_fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -276,9 +281,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     inner = "__pl_fp"
     frame = materialize(with_fingerprint(without(docs, [inner]), text_col, width, name=inner), "with-fingerprints")
+    small = frame.select(F.col(f"`{id_col}`").alias("id"), F.col(inner).alias("fp"))
+    return least_rows(frame, id_col, inner, small, _components(small, radius), docs.columns)
+
+
+def least_rows(frame: DataFrame, id_col: str, inner: str, small: DataFrame, components: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` of the row of ``frame`` with each component's smallest id; ``small``: its ids and column ``inner``."""
     ident = F.col(f"`{id_col}`")
-    small = frame.select(ident.alias("id"), F.col(inner).alias("fp"))
-    found = _components(small, radius).groupBy("root_fp").agg(
+    found = components.groupBy("root_fp").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("x")
     )
     chosen = found.select(F.col("x.id").alias("__pl_id"), F.col("x.fp").alias("__pl_of"))
@@ -290,7 +300,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "chosen",
     )
     kept = frame.join(chosen, ident.eqNullSafe(F.col("__pl_id")) & (F.col(inner) == F.col("__pl_of")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(f"`{c}`") for c in names]
     once = kept.where("__pl_n = 1").select(*columns)
     if chosen.where("__pl_n > 1").isEmpty():
         return once
