@@ -28,7 +28,7 @@ FLOOR = (0.08, 0.1, 0.15, 0.1)
 CUTOFF = 40.0
 #: The share of a group's documents that the estimate is fitted to, and the number of refits.
 COVERED, STEPS = 0.75, 3
-#: Groups with fewer documents join their language's; a language with fewer joins the whole.
+#: Groups with fewer documents are judged by the estimate of their whole language; those of a language with fewer by the table's.
 LEAST_ROWS = 100
 #: Bins for a doubling of the squared distance.
 BINS = 16
@@ -208,9 +208,9 @@ def estimates(counted: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", ids: list[str] | None = None) -> DataFrame:
     """Columns ``ids`` (default: all but the text; one named like a new column is replaced) with the five counts, ``base_failed`` and ``kept``.
 
-    Groups are (language, source), null being a value of its own; a group with fewer than LEAST_ROWS documents joins its
-    language's, and a language with fewer joins the whole. Documents that the fixed rules reject take no part in the
-    estimates. A null text has no words and fails; repeated rows stay and count each time; an empty table gives no rows.
+    Groups are (language, source), null being a value of its own; a group with fewer than LEAST_ROWS documents is judged by
+    an estimate of all documents of its language, and, where these are fewer too, by one of all documents of the table.
+    Documents that the fixed rules reject take no part in the estimates. A null text has no words and fails; repeated rows stay and count each time; an empty table gives no rows.
     """
     ids = ids if ids is not None else [c for c in docs.columns if c != text_col]
     frame = docs.select(
@@ -226,18 +226,28 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
              F.struct(F.lit(1).alias("k"), F.col("__lang").alias("lang"), F.lit(None).cast("string").alias("source")),
              F.struct(F.lit(0).alias("k"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))]
     pairs = counted.where(~F.col("base_failed")).groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.withColumn("in_lang", F.sum("n").over(Window.partitionBy("__lang")))
+    in_lang = Window.partitionBy("__lang")
+    pairs = pairs.withColumns({"in_lang": F.sum("n").over(in_lang), "least": F.min("n").over(in_lang)})
     pairs = pairs.select(
         F.col("__lang").alias("l"),
         F.col("__source").alias("s"),
-        F.to_json(F.when(F.col("n") >= LEAST_ROWS, names[0]).when(F.col("in_lang") >= LEAST_ROWS, names[1]).otherwise(names[2])).alias("g"),
+        *[F.to_json(name).alias(f"g{2 - k}") for k, name in enumerate(names)],
+        (F.col("n") >= LEAST_ROWS).alias("own"),
+        (F.col("in_lang") >= LEAST_ROWS).alias("large_lang"),
+        (F.col("least") < LEAST_ROWS).alias("small_parts"),
     )
     pairs = materialize(pairs, "groups")
+    # What judges a pair's documents, and the estimates that they are part of: no language or table is fitted for nothing.
+    whole = not pairs.where("not large_lang").isEmpty()
+    parts = [F.when(F.col("own"), F.col("g2")), F.when(F.col("large_lang") & F.col("small_parts"), F.col("g1"))]
+    parts += [F.col("g0")] if whole else []
+    judge = F.when(F.col("own"), F.col("g2")).when(F.col("large_lang"), F.col("g1")).otherwise(F.col("g0"))
+    pairs = pairs.select("l", "s", judge.alias("g"), F.array_compact(F.array(*parts)).alias("parts"))
     placed = counted.join(
         pairs, F.col("__lang").eqNullSafe(F.col("l")) & F.col("__source").eqNullSafe(F.col("s")), "left"
     ).drop("l", "s")
     placed = placed.select("*", *[v.alias(x) for v, x in zip(_vector(), X)])
-    fitted = materialize(placed.where(~F.col("base_failed")).select("g", *X), "vectors")
+    fitted = materialize(placed.where(~F.col("base_failed")).select(F.explode("parts").alias("g"), *X), "vectors")
     factors = estimates(fitted)
     passed = _distance(placed.where(~F.col("base_failed")), factors).withColumn("kept", F.col("d2") <= CUTOFF)
     failed = placed.where("base_failed").withColumn("kept", F.lit(False))

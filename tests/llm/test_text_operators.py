@@ -187,6 +187,16 @@ def test_mahalanobis_equals_numpy(spark):
     assert np.allclose(np.sort(got), np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)), rtol=1e-3)
 
 
+def test_small_groups_are_judged_by_larger_ones(spark):
+    """Junk of a rare source, a rare language and no language, each beside a clean document of its kind."""
+    rows = [(i, lorem(i, 60 + i % 200), "en", "big", 1) for i in range(150)]
+    kinds = [("en", "rare"), ("en", None), ("xx", "big"), (None, "rare")]
+    rows += [(1000 + k, " ".join(w + "###" for w in lorem(k, 100).split()), *kind, 1) for k, kind in enumerate(kinds)]
+    rows += [(2000 + k, lorem(500 + k, 100), *kind, 1) for k, kind in enumerate(kinds) if k != 1]
+    got = {r["doc_id"]: r["kept"] for r in quality.query(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[1000 + k] for k in range(4)) and all(got[2000 + k] for k in (0, 2, 3))
+
+
 def test_quality_rows(odd_docs, clashing):
     out = quality.query(odd_docs)
     assert out.count() == odd_docs.count()
