@@ -34,8 +34,6 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Links that a metadata record lists at most; all links are counted in it.
-LINKS = 1000
 
 
 def digest(data: bytes) -> str:
@@ -154,7 +152,7 @@ def derive(source_id: str, uri: str | None, date: str, block: bytes, payload_dig
         ("source-record-id", source_id), ("source-date", date), ("source-payload-digest", payload_digest),
         ("source-block-digest", block_digest), ("source-http-status", status), *[(f"source-http-header-{k.lower()}", v) for k, v in http],
         *[(k, facts[k]) for k in ("title", "lang", "charset") if k in facts], ("outlinks", len(links)),
-        *[("outlink", x) for x in links[:LINKS]],
+        *[("outlink", x) for x in links],
     ]
     blocks = [
         ("metadata", "application/warc-fields", "".join(f"{k}: {_line(v)}\r\n" for k, v in fields)),

@@ -152,6 +152,14 @@ def test_derivatives_round_trip(spark, tmp_path):
     assert sorted(h["warc-record-id"] for h in found) == sorted(r["record_id"] for r in out)
 
 
+def test_every_link_is_written(spark):
+    html = "".join(f'<a href="/{i}">x</a>' for i in range(2500))
+    pages = spark.createDataFrame([(1, "http://a.test/", html)], "page_id long, url string, html string")
+    (meta,) = warc.query(pages).where("warc_type = 'metadata'").collect()
+    fields = [line.split(": ", 1) for line in meta["block"].split("\r\n") if line]
+    assert [v for k, v in fields if k == "outlink"] == [f"/{i}" for i in range(2500)] and ["outlinks", "2500"] in fields
+
+
 def test_reading_responses(spark, tmp_path):
     block = warc.http_block(HTML)
     data = warc.serialize([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"x") + warc.serialize(
