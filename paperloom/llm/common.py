@@ -1,7 +1,9 @@
-"""What the operators of this subpackage share: scratch tables and Arrow column passes.
+"""What the operators of this subpackage share: scratch tables, row selection without a shuffle, Arrow column passes.
 
 Scratch tables are Parquet files under the folder named by ``spark.checkpoint.dir``. They cut lineage the way
-``checkpoint()`` does, survive the loss of any executor, keep their statistics for the planner and are columnar.
+``checkpoint()`` does, survive the loss of any executor, keep their statistics for the planner and are columnar. A table
+that is only a step goes when the ``scratch`` block that made it ends; what a result still reads is handed to the block
+around it, and the outermost leaves it to ``delete`` or, in a local session's own folder, to the end of the process.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +21,14 @@ from pyspark.sql import types as T
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF and CR (RE2 and Java read it alike).
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch that are in Python objects at a time.
-SLICE_ROWS = 1000
+#: Rows of an Arrow batch, and bytes of its texts, that are in Python objects at a time (one row at least).
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 #: The folder of a local session that names none; it goes when the process ends.
 _OWN: list[str] = []
+#: Scratch paths of the open blocks, the innermost last.
+_OPEN: list[list[str]] = []
+#: Columns that number the rows of a frame: file and place in it.
+FILE, PLACE = "__pl_file", "__pl_place"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +44,8 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="paperloom-"))
@@ -46,24 +54,151 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{scratch_dir(spark).rstrip('/')}/paperloom-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A path in the shared folder that no other run uses; the innermost ``scratch`` block owns it."""
+    path = f"{scratch_dir(spark).rstrip('/')}/paperloom-{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the scratch tables made inside, but for those of frames given to the yielded ``keep``."""
+    paths: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        used = df.inputFiles()
+        kept.extend(p for p in paths if any(f"/{p.rpartition('/')[2]}/" in u for u in used))
+        return df
+
+    _OPEN.append(paths)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+        delete(spark, [p for p in paths if p not in kept])
+
+
+@contextmanager
+def held(paths: list[str]):
+    """Adds what the blocks inside leave, or what is made outside of them, to ``paths`` instead; ``delete`` is the caller's."""
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+
+
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with FILE and PLACE, by which a row is found again however often the frame is read.
+
+    A plain Parquet table has these places already; anything else is written once.
+    """
+    if {c.lower() for c in docs.columns} & {FILE, PLACE}:
+        docs = without(docs, [FILE, PLACE])
+    plan = docs._jdf.queryExecution().analyzed()
+    plain = plan.nodeName() == "LogicalRelation" and "parquet" in plan.simpleString(25).lower()
+    frame = docs if plain and "_metadata" not in docs.columns else materialize(docs, "rows")
+    return frame.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
+
+
+def picked(frame: DataFrame, marks: DataFrame, names: Sequence[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns ``names`` of the rows of ``frame`` (from ``numbered``) that ``marks`` (FILE, PLACE, times) names, each
+    ``times`` times. Texts aren't shuffled: marks are written in one folder a file, and a task reads those of its file.
+
+    Where pyarrow can't open the shared folder, the rows are joined instead. ``keep`` is that of the ``scratch`` block.
+    """
+    from pyarrow import fs
+
+    spark = frame.sparkSession
+    schema = T.StructType([frame.schema[c] for c in names])
+    times = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
+    marks = marks.select(F.lower(F.hex(F.xxhash64(FILE))).alias("bin"), F.col(FILE).alias("file"), F.col(PLACE).alias("place"), "times")
+    marks = marks.repartition("bin").sortWithinPartitions("bin", "file", "place")
+    written = materialize(marks, "marks", partition_by="bin")
+    folder = next(p for p in reversed(_OPEN[-1]) if "paperloom-marks-" in p)
+    try:
+        fs.FileSystem.from_uri(folder)
+    except Exception:  # a scheme that only Spark's readers know
+        both = (F.col(FILE) == F.col("file")) & (F.col(PLACE) == F.col("place"))
+        return keep(frame.join(written, both).withColumn("__pl_times", times).select(*[F.col(f"`{c}`") for c in names]))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        store, base = fs.FileSystem.from_uri(folder)
+        now, places, copies = None, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for batch in batches:
+            files = batch.column(len(names))
+            for file in files.dictionary_encode().dictionary.to_pylist():
+                if file != now:
+                    now, at = file, f"{base}/bin={_spark_hash(file)}"
+                    found = None
+                    if store.get_file_info(at).type == fs.FileType.Directory:
+                        parts = [f for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet")]
+                        found = pa.concat_tables([pq.read_table(f.path, filesystem=store, partitioning=None) for f in parts])
+                        found = found.filter(pc.equal(found.column("file"), file)).sort_by("place")
+                    places = found.column("place").to_numpy() if found else np.zeros(0, np.int64)
+                    copies = found.column("times").to_numpy() if found else np.zeros(0, np.int32)
+                own = batch.filter(pc.equal(files, file))
+                place = own.column(len(names) + 1).to_numpy()
+                k = np.searchsorted(places, place)
+                hit = np.flatnonzero((k < len(places)) & (places[np.minimum(k, len(places) - 1)] == place)) if len(places) else []
+                if len(hit):
+                    rows = pa.array(np.repeat(hit, copies[k[hit]]))
+                    yield pa.RecordBatch.from_arrays([own.column(i).take(rows) for i in range(len(names))], names=list(names))
+
+    own = frame.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], FILE, PLACE)
+    keep(written)
+    return own.mapInArrow(run, schema)
+
+
+def _spark_hash(text: str) -> str:
+    """``lower(hex(xxhash64(text)))`` as Spark has it."""
+    from xxhash import xxh64_intdigest
+
+    return f"{xxh64_intdigest(text.encode(), 42):x}"
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` less the columns that an operator is about to add; names compare without case, as Spark's do."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def slices(batch) -> Iterator:
+    """Parts of an Arrow batch, in order, of SLICE_ROWS rows at most and of about SLICE_BYTES, but one row at least."""
+    rows = max(1, min(SLICE_ROWS, SLICE_ROWS if not batch.num_rows else SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, rows):
+        part = batch.slice(start, rows)
+        if part.num_rows > 1 and part.nbytes > 4 * SLICE_BYTES:  # a few very long texts
+            half = part.num_rows // 2
+            yield from slices(part.slice(0, half))
+            yield from slices(part.slice(half))
+        else:
+            yield part
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -91,8 +226,7 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
+            for batch in slices(whole):
                 out = compute(*[batch.column(at[c]).to_pylist() for c in inputs])
                 arrays = [batch.column(c) for c in carried] + [pa.array(v, type=k) for v, k in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])

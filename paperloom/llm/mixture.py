@@ -6,9 +6,10 @@ words, by weights that repeat along the sources' order; a target stops at ``most
 leaves is shared again by weight. The target is filled by complete passes over the source first, then by the documents
 whose prefix sum, in key order, comes nearest to what remains.
 
-Prefix sums are two-level: sizes are summed over narrow ranges of ln(key), the ranges' totals are accumulated per source,
-and ranks within a range are summed by a window over the source and range alone. A source with a third of all rows is so
-spread over ranges of a few thousand rows.
+A source's cut is found by narrowing: sizes are summed over ranges of ln(key), and the range in which the target ends is
+summed by key, the key by parts of the table, and the part by rows. Each step groups what the one before has left, so no
+step orders a whole source, however many rows or copies it has. What is decided is one cut a source; documents are held
+against it where they stand.
 """
 
 from __future__ import annotations
@@ -17,26 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import WORD, materialize
+from paperloom.llm.common import FILE, PLACE, WORD, materialize, numbered, picked, scratch
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A target is at most so many times the size of its source.
 MOST_PASSES = 3
 #: Rows of a source per range of ln(key), roughly.
-PER_RANGE = 4096
+PER_RANGE = 512
 #: Quality weights of documents: labelled good, labelled bad, not labelled.
 QUALITY = (2.0, 0.5, 1.0)
 
 
-def key_column(id_text, weight):
-    """-ln(u) / weight with u from the first 52 bits of the id's MD5."""
-    bits = F.conv(F.substring(F.md5(id_text), 1, 13), 16, 10).cast("double")
+def key_column(id_text, text, weight):
+    """-ln(u) / weight with u from the first 52 bits of the MD5 of the id and the text, so that only copies share a key."""
+    bits = F.conv(F.substring(F.md5(F.concat(id_text, F.lit(":"), F.md5(text))), 1, 13), 16, 10).cast("double")
     return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
-    """(source, source_size) -> these and ``target``: the water level of weighted shares under caps, in exact integers."""
+    """(source, source_size, ...) -> these and ``target``: the water level of weighted shares under caps, in exact integers."""
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     ranked = sizes.withColumn("place", F.row_number().over(order))
     ranked = ranked.withColumn(
@@ -53,57 +54,77 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         .withColumn("ws", F.sum(F.when(~F.col("full"), F.col("w"))).over(everything))
     )
     share = ((F.col("all") - F.col("caps")) * F.col("w")).cast("double") / F.col("ws").cast("double")
-    return filled.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
+    return filled.select(*sizes.columns, F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def sized(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size, key), written once: the only pass over texts."""
+def sized(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, source_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, key, carried...), written once: the only pass over texts."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    good, bad, none = QUALITY
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").alias("source"),
         F.regexp_count(text, F.lit(f"({WORD})")).cast("long").alias("size"),
+        key_column(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), text, F.lit(1.0)).alias("draw"),
+        *[F.col(c) for c in carried],
     )
-    good, bad, none = QUALITY
-    if labels is None:
-        rows = rows.withColumn("weight", F.lit(none))
-    else:
-        marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        rows = (
-            rows.join(marks, rows["id"] == marks["doc_id"], "left")
-            .withColumn("weight", F.when(F.col("quality") > 0, F.lit(good)).when(F.col("quality") <= 0, F.lit(bad)).otherwise(F.lit(none)))
-            .drop("doc_id", "quality")
-        )
-    id_text = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    return materialize(rows.withColumn("key", key_column(id_text, F.col("weight"))).drop("weight"), "sizes")
+    weight = F.lit(none)
+    if labels is not None:
+        marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("marked")).agg(F.max("quality").alias("quality"))
+        rows = rows.join(marks, rows["id"] == marks["marked"], "left")
+        weight = F.when(F.col("quality") > 0, F.lit(good)).when(F.col("quality") <= 0, F.lit(bad)).otherwise(F.lit(none))
+    return materialize(rows.select("id", "source", "size", (F.col("draw") / weight).alias("key"), *carried), "sizes")
 
 
-def _taken(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """(id, source, size, key) -> with source_size, target and ``passes``: how often each document is taken."""
+def _narrowed(rows: DataFrame, cuts: DataFrame, cell, name: str) -> DataFrame:
+    """rows (source, size, ...) within each source's cut so far -> the cell of each source that its target ends in.
+
+    ``cuts`` has (s, start, rest); the answer has them too, ``start`` being the sum before the cell, and the cell as ``name``.
+    """
+    inside = rows.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn(name, cell)
+    sums = inside.groupBy("s", name).agg(F.sum("size").alias("cell_size"), F.first("start").alias("start"), F.first("rest").alias("rest"))
+    before = Window.partitionBy("s").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.col("start") + F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
+    last = starts.where(F.col("start") <= F.col("rest")).groupBy("s").agg(F.max(F.struct(name, "start", "rest")).alias("x"))
+    return materialize(last.select("s", f"x.{name}", "x.start", "x.rest"), f"cut-{name}")
+
+
+def _cuts(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(id, source, size, key, PLACE) -> one row a source: s, source_size, target, whole, and the cut (key, place, start, rest).
+
+    Of the rows with words, those before the cut's key, and those of this key up to its place, are taken once more than
+    ``whole``; the row at the cut itself if half of it fits. A source without a cut takes none more.
+    """
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    per_source = materialize(per_source, "sources")
-    aims = targets(per_source.select("source", "source_size"), weights, most)
-    aims = aims.join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    aims = targets(per_source, weights, most).withColumnRenamed("source", "s")
     some = F.col("source_size") > 0
     whole = F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = aims.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    aims = materialize(aims.withColumnRenamed("source", "s"), "targets")
+    aims = materialize(aims, "targets")
+    with_words = rows.where("size > 0")
     spread = F.greatest(F.lit(1.0), F.col("n") / PER_RANGE)
-    placed = rows.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("range", F.floor(F.log(F.greatest(F.col("key"), F.lit(1e-300))) * spread))
-    ranges = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(
-        F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start")
-    )
-    ranges = materialize(ranges, "ranges")
-    placed = placed.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("ahead", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    chosen = (2 * F.col("ahead") + F.col("size")) <= 2 * F.col("rest")
-    return placed.withColumn("passes", (F.col("whole") + F.when(chosen & (F.col("size") > 0), 1).otherwise(0)).cast("int")).select(
-        "id", "source", "size", "source_size", "target", "passes"
-    )
+    by_range = F.floor(F.log(F.greatest(F.col("key"), F.lit(1e-300))) * spread)
+    cut = _narrowed(with_words, aims.select("s", "n", F.lit(0).cast("long").alias("start"), "rest"), by_range, "range")
+    # The rows of the range, by key and part of the table (rows are numbered part by part), then by row.
+    near = with_words.join(cut.join(aims.select(F.col("s").alias("s1"), "n"), F.col("s").eqNullSafe(F.col("s1"))).select("s", "range", "n"), F.col("source").eqNullSafe(F.col("s")))
+    near = materialize(near.where(by_range == F.col("range")).select("source", "size", "key", PLACE), "near-the-cut")
+    cell = F.struct("key", F.shiftright(PLACE, 33).alias("part"))
+    cut = _narrowed(near, cut.drop("range"), cell, "cell")
+    near = near.join(cut.select("s", "cell"), F.col("source").eqNullSafe(F.col("s")) & (cell == F.col("cell"))).drop("s", "cell")
+    row = _narrowed(near, cut.drop("cell"), F.col(PLACE), "at_place")
+    places = row.select(F.col("s").alias("s2"), "at_place", "start")
+    keys = cut.select(F.col("s").alias("s1"), F.col("cell.key").alias("at_key"))
+    found = aims.join(keys, F.col("s").eqNullSafe(F.col("s1")), "left").join(places, F.col("s").eqNullSafe(F.col("s2")), "left")
+    return found.select("s", "source_size", "target", "whole", "rest", "at_key", "at_place", "start")
+
+
+def _taken(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(id, source, size, key, PLACE, ...) -> with source_size, target and ``passes``: how often each document is taken."""
+    placed = rows.join(_cuts(rows, weights, most), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    at_cut = (F.col(PLACE) == F.col("at_place")) & (2 * F.col("start") + F.col("size") <= 2 * F.col("rest"))
+    before = (F.col("key") < F.col("at_key")) | ((F.col("key") == F.col("at_key")) & ((F.col(PLACE) < F.col("at_place")) | at_cut))
+    more = F.when(F.coalesce(before, F.lit(False)) & (F.col("size") > 0), 1).otherwise(0)
+    return placed.withColumn("passes", (F.col("whole") + more).cast("int")).drop("whole", "rest", "at_key", "at_place", "start", "key")
 
 
 def mix(
@@ -119,10 +140,13 @@ def mix(
 
     A size is the number of words of the whole text (null: 0). Sources go by code point, null last and a source of its
     own; a source without words has the target 0. ``labels`` (doc_id, quality) gives quality weights. The draw depends on
-    ids alone, so reruns agree; rows with equal ids share a key and go by size. An empty table gives no rows. Whole
-    documents are taken: a source's taken words differ from its target by half its longest document at most.
+    id and text alone, so reruns agree; copies (equal id and text) share a key and go in the table's order. An empty table
+    gives no rows. Whole documents are taken: a source's taken words differ from its target by half its longest document
+    at most. Very long texts are counted whole; other columns of ``docs`` play no part.
     """
-    found = _taken(sized(docs, labels, id_col, text_col, source_col), weights, most)
+    with scratch(docs.sparkSession) as keep:
+        rows = sized(docs.withColumn(PLACE, F.monotonically_increasing_id()), labels, id_col, text_col, source_col, (PLACE,))
+        found = keep(_taken(rows, weights, most))
     return found.select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
@@ -137,28 +161,17 @@ def mix(
 def apply_mix(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is taken, rows taken never left out; columns as they are.
 
-    Rows with equal id, source and size are taken as often as any of them: those with the lesser text hash first.
+    Decisions go to the rows' places; texts are neither joined nor shuffled. Odd rows are treated as in ``mix``.
     """
-    taken = _taken(sized(docs, labels, id_col, text_col, source_col), WEIGHTS, MOST_PASSES)
-    # Rows that agree share a key, so their counts differ by one at most.
-    counts = taken.groupBy("id", "source", "size").agg(
-        F.count(F.lit(1)).alias("n"), F.min("passes").alias("least"), F.sum("passes").alias("sum")
-    )
-    counts = counts.where("sum > 0").select(
-        F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "least", (F.col("sum") - F.col("least") * F.col("n")).alias("more")
-    )
-    size = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(f"({WORD})")).cast("long")
-    joined = docs.withColumn("__n", size).join(
-        materialize(counts, "taken"),
-        F.col(f"`{id_col}`").eqNullSafe(F.col("__i"))
-        & F.col(f"`{source_col}`").eqNullSafe(F.col("__s"))
-        & (F.col("__n") == F.col("__z")),
-    )
-    single = joined.where("more = 0").withColumn("__k", F.col("least"))
-    place = F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))
-    several = joined.where("more > 0").withColumn("__k", F.col("least") + F.when(place <= F.col("more"), 1).otherwise(0))
-    repeated = single.unionByName(several).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    with scratch(docs.sparkSession) as keep:
+        frame = numbered(docs)
+        inner = "__pl_row_file"
+        at = frame.withColumns({inner: F.col(FILE), "__pl_row_place": F.col(PLACE), PLACE: F.monotonically_increasing_id()})
+        rows = sized(at, labels, id_col, text_col, source_col, (PLACE, inner, "__pl_row_place"))
+        taken = _taken(rows, WEIGHTS, MOST_PASSES).where("passes > 0")
+        marks = taken.select(F.col(inner).alias(FILE), F.col("__pl_row_place").alias(PLACE), F.col("passes").alias("times"))
+        return picked(keep(frame), marks, names, keep)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,13 +180,13 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS draw, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), marks AS (
   SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), keyed AS (
   SELECT d.doc_id, d.source, d.size,
-    -ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
-      / CASE WHEN m.quality > 0 THEN 2.0::DOUBLE WHEN m.quality <= 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
+    -ln((CAST(CAST('0x' || substr(d.draw, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
+      / 1.0::DOUBLE / CASE WHEN m.quality > 0 THEN 2.0::DOUBLE WHEN m.quality <= 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
   FROM docs d LEFT JOIN marks m ON d.doc_id = m.doc_id
 ), per_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source

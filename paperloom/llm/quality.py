@@ -2,14 +2,15 @@
 
 The outlier rule is a minimum-covariance-determinant estimate. A document's transformed statistics are (log of the mean
 word length, square root of symbols per word, share of repeated lines, share of words in repeated three-word windows). For
-each language and source, the estimate starts from the half of the documents nearest to the centre by robustly scaled
-coordinates, and concentration steps refit mean and covariance to the COVERED share of documents with the smallest
-Mahalanobis distance. A document is rejected if its squared distance passes CUTOFF. Every coordinate has a least spread
-(FLOOR), added to the covariance, so that a group in which a statistic is almost constant keeps a usable scale.
+each language and source, the estimate has several starts: the half of the documents nearest to the coordinates' medians,
+measured in three ways. Concentration steps refit mean and covariance to the COVERED share of documents with the smallest
+Mahalanobis distance; after FIRST steps the start with the least determinant goes on, until a step changes nothing. A
+document is rejected if its squared distance passes CUTOFF. Every coordinate has a least spread (FLOOR), added to the
+covariance, so that a group in which a statistic is almost constant keeps a usable scale.
 
 All of it is DataFrame expressions: counts by higher-order functions, moments by grouped sums, the Cholesky factor and
-distances by column arithmetic, and quantiles of distances by exact counts over narrow logarithmic bins, so no group is
-gathered and results don't depend on how rows are dealt.
+distances by column arithmetic, and quantiles by grouped counts of values on a grid (a bounded number of them), added up
+before the shuffle; so no group is gathered or sorted, and results don't depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import materialize, without
+from paperloom.llm.common import materialize, scratch, without
 
 GAP = r"[\x20\x09-\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The transformed statistics, in order, and the least spread (standard deviation) of each.
 FLOOR = (0.08, 0.1, 0.15, 0.1)
-#: Squared distances beyond this are outliers; at four normal coordinates a share of 4e-8 would pass it.
-CUTOFF = 40.0
-#: The share of a group's documents that the estimate is fitted to, and the number of refits.
-COVERED, STEPS = 0.75, 3
+#: The share of a group's documents that the estimate is fitted to; steps of every start; steps in all, at most.
+COVERED, FIRST, MOST_STEPS = 0.75, 2, 30
+#: By how much a step must lower the logarithm of the determinant's root, to count.
+LEAST_GAIN = 1e-6
+#: Squared distances beyond this are outliers: the 0.999 quantile of chi-square with four degrees of freedom (18.47) times
+#: what a covariance of the nearest 0.75 lacks there (0.75 / P(chi-square of six < 5.39) = 1.48).
+CUTOFF = 18.47 * 1.48
 #: Groups with fewer documents are judged by the estimate of their whole language; those of a language with fewer by the table's.
-LEAST_ROWS = 100
+LEAST_ROWS = 30
 #: Bins for a doubling of the squared distance.
 BINS = 16
 
@@ -41,9 +45,9 @@ def count_words(text: Column) -> Column:
 def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) of whole texts; a null text has no words.
 
-    Windows of three words are hashed, and the hash's low bits give way to the window's place; sorted, equal windows are
-    neighbours. Neighbours are then compared word by word, so a hash never makes windows equal. Columns of the new names
-    are replaced.
+    A text whose three-word windows all have different hashes repeats none. In the others, windows are sorted by their words
+    and place, so equal ones are neighbours, whatever their hashes. Columns of the new names are replaced. A very long text
+    is counted whole; its words, and the windows of a text that repeats some, are in memory together.
     """
     docs = without(docs, STATS)
     carried = [f"`{c}`" for c in (keep if keep is not None else docs.columns) if c.lower() not in STATS]
@@ -61,37 +65,28 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
         "cast(size(__w) as bigint) as n_words",
         "cast(length(array_join(__w, '')) as bigint) as word_chars",
         "cast(size(__l) - size(array_distinct(__l)) as bigint) as n_dup_lines",
-        "size(__w) - 2 as __n",
-        "cast(ceil(log2(greatest(size(__w), 2))) as int) as __b",
+        """case when size(__w) < 4 then cast(array() as array<bigint>) else
+             transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])) end as __h""",
     )
     three = two.selectExpr(
-        "*",
-        """case when __n < 2 then cast(array() as array<bigint>) else
-             sort_array(transform(sequence(0, __n - 1),
-               i -> shiftleft(xxhash64(__w[i], __w[i + 1], __w[i + 2]), __b) | cast(i as bigint))) end as __s""",
+        *carried,
+        *("__w", "n_symbols", "n_words", "word_chars", "n_dup_lines"),
+        """case when size(array_distinct(__h)) = size(__h) then null else
+             array_sort(transform(sequence(0, size(__w) - 3),
+               i -> struct(concat_ws(' ', __w[i], __w[i + 1], __w[i + 2]) as s, i as i))) end as __s""",
     )
     four = three.selectExpr(
         "*",
-        """transform(filter(__s, (x, j) ->
-               (j > 0 and shiftright(__s[j - 1], __b) = shiftright(x, __b)) or
-               (j + 1 < __n and shiftright(get(__s, j + 1), __b) = shiftright(x, __b))),
-             x -> cast(x & (shiftleft(1L, __b) - 1L) as int)) as __p""",
-    )
-    # Neighbours whose hashes agree: places whose words agree with the one before or after in this order.
-    five = four.selectExpr(
-        "*",
-        """filter(__p, (p, j) ->
-               (j > 0 and __w[p] = __w[__p[j - 1]] and __w[p + 1] = __w[__p[j - 1] + 1] and __w[p + 2] = __w[__p[j - 1] + 2]) or
-               (j + 1 < size(__p) and __w[p] = __w[get(__p, j + 1)] and __w[p + 1] = __w[get(__p, j + 1) + 1] and __w[p + 2] = __w[get(__p, j + 1) + 2])
-             ) as __q""",
+        """transform(filter(__s, (x, j) -> (j > 0 and __s[j - 1].s = x.s) or (j + 1 < size(__s) and get(__s, j + 1).s = x.s)),
+             x -> x.i) as __q""",
     )
-    return five.selectExpr(
+    return four.selectExpr(
         *carried,
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        """cast(case when size(__q) = 0 then 0 else
+        """cast(case when __q is null or size(__q) = 0 then 0 else
              size(array_distinct(flatten(transform(__q, p -> array(p, p + 1, p + 2))))) end as bigint) as n_repeat_words""",
     )
 
@@ -120,24 +115,24 @@ def _exact(c: Column) -> Column:
     return F.round(c * float(1 << 20)).cast("decimal(20,0)")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """(g, x...) -> g, means m_i and covariances c_ij with the floors added."""
+def _moments(rows: DataFrame, by: tuple[str, ...] = ("g",)) -> DataFrame:
+    """(by..., x...) -> by, means m_i and covariances c_ij with the floors added."""
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.sum(_exact(F.col(x))).cast("double").alias(f"s{i}") for i, x in enumerate(X)]
     sums += [F.sum(_exact(F.col(X[i]) * F.col(X[j]))).cast("double").alias(f"s{i}_{j}") for i, j in PAIRS]
     unit = float(1 << 20)
-    grouped = rows.groupBy("g").agg(*sums)
+    grouped = rows.groupBy(*by).agg(*sums)
     means = [(F.col(f"s{i}") / unit / F.col("n")).alias(f"m{i}") for i in range(D)]
     grouped = grouped.select("*", *means)
     cov = [
         (F.col(f"s{i}_{j}") / unit / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}")
         for i, j in PAIRS
     ]
-    return grouped.select("g", *[f"m{i}" for i in range(D)], *cov)
+    return grouped.select(*by, *[f"m{i}" for i in range(D)], *cov)
 
 
-def _cholesky(moments: DataFrame) -> DataFrame:
-    """Adds the lower factor l_ij of the covariance."""
+def _cholesky(moments: DataFrame, by: tuple[str, ...] = ("g",)) -> DataFrame:
+    """The means, the lower factor l_ij of the covariance, and ``volume``, the logarithm of its determinant's root."""
     df = moments
     for i in range(D):
         for j in range(i + 1):
@@ -145,11 +140,12 @@ def _cholesky(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}_{j}"))
-    return df.select("g", *[f"m{i}" for i in range(D)], *[f"l{i}_{j}" for i, j in PAIRS])
+    volume = sum((F.log(f"l{i}_{i}") for i in range(1, D)), F.log("l0_0"))
+    return df.select(*by, *[f"m{i}" for i in range(D)], *[f"l{i}_{j}" for i, j in PAIRS], volume.alias("volume"))
 
 
-def _distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """rows (g, x...) with ``d2``, the squared Mahalanobis distance to their group's estimate."""
+def _distance(rows: DataFrame, factors: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """rows (g, x...) with ``d2``, the squared Mahalanobis distance to their group's estimate (to each of several)."""
     df = rows.join(factors, "g")
     for i in range(D):
         v = F.col(X[i]) - F.col(f"m{i}")
@@ -157,52 +153,66 @@ def _distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
             v = v - F.col(f"l{i}_{k}") * F.col(f"y{k}")
         df = df.withColumn(f"y{i}", v / F.col(f"l{i}_{i}"))
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0"))
-    return df.withColumn("d2", d2).select(*rows.columns, "d2")
+    return df.withColumn("d2", d2).select(*rows.columns, *carried, "d2")
 
 
 def _bin(value: Column) -> Column:
-    return F.floor(F.log2(F.greatest(value, F.lit(1e-6))) * BINS).cast("int")
+    """A place on a grid of BINS steps a doubling, from 1e-6 to 1e6."""
+    return F.floor(F.log2(F.least(F.greatest(value, F.lit(1e-6)), F.lit(1e6))) * BINS).cast("int")
 
 
-def _nearest(rows: DataFrame, measure: str, share: float) -> DataFrame:
-    """The rows of each group in the bins of ``measure`` up to the one that holds the share's last row."""
-    counts = rows.groupBy("g", _bin(F.col(measure)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("g").orderBy("b")
-    whole = Window.partitionBy("g")
-    counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(whole))
-    limits = counts.where(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.min("b").alias("limit"))
+def _quantile(grid: str, share: float) -> Column:
+    """The exact quantile of whole numbers; their counts are added up before the shuffle."""
+    return F.expr(f"percentile_disc({share}) within group (order by {grid})")
+
+
+def _nearest(rows: DataFrame, share: float, by: tuple[str, ...] = ("g",)) -> DataFrame:
+    """The rows of each group in the bins of ``d2`` up to the one that holds the share's last row."""
+    binned = rows.withColumn("bin", _bin(F.col("d2")))
+    limits = binned.groupBy(*by).agg(_quantile("bin", share).alias("limit"))
     limits = materialize(limits, "limits")  # a row per group: its size decides how it is joined
-    return rows.join(limits, "g").where(_bin(F.col(measure)) <= F.col("limit")).drop("limit")
+    return binned.join(limits, list(by)).where(F.col("bin") <= F.col("limit"))
 
 
 def _middles(rows: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
-    """(g, names...): the medians of columns by counts over steps of 2^-10; a row per group, written for its size."""
+    """(g, names...): the medians of columns on a grid of 2^-10; a row per group, written for its size."""
     step = 1024.0
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(c) * step).alias("b")) for k, c in enumerate(columns)]))
-    counts = rows.select("g", each.alias("x")).groupBy("g", "x.k", "x.b").agg(F.count(F.lit(1)).alias("n"))
-    order, whole = Window.partitionBy("g", "k").orderBy("b"), Window.partitionBy("g", "k")
-    counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(whole))
-    middle = counts.where(F.col("upto") * 2 >= F.col("all")).groupBy("g", "k").agg(((F.min("b") + 0.5) / step).alias("m"))
-    wide = middle.groupBy("g").agg(*[F.max(F.when(F.col("k") == k, F.col("m"))).alias(n) for k, n in enumerate(names)])
-    return materialize(wide, "medians")
-
-
-def estimates(counted: DataFrame) -> DataFrame:
-    """(g, x...) of documents that no fixed rule rejects -> g, means and Cholesky factors."""
-    rows = counted
-    # Start: the nearest by coordinates scaled with medians and median deviations.
-    start = rows.join(_middles(rows, X, [f"med{i}" for i in range(D)]), "g")
-    start = start.select("g", *X, *[F.abs(F.col(x) - F.col(f"med{i}")).alias(f"a{i}") for i, x in enumerate(X)])
-    start = materialize(start, "start")
-    scaled = start.join(_middles(start, [f"a{i}" for i in range(D)], [f"mad{i}" for i in range(D)]), "g")
-    total = sum((F.pow(F.col(f"a{i}") / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(FLOOR[i])), 2) for i in range(1, D)),
-                F.pow(F.col("a0") / F.greatest(1.4826 * F.col("mad0"), F.lit(FLOOR[0])), 2))
-    scaled = scaled.select("g", *X, total.alias("d2"))
-    factors = materialize(_cholesky(_moments(_nearest(scaled, "d2", 0.5))), "estimate")
-    for _ in range(STEPS):
-        near = _nearest(_distance(rows, factors), "d2", COVERED)
-        factors = materialize(_cholesky(_moments(near)), "estimate")
-    return factors
+    grids = rows.select("g", *[F.least(F.floor(F.col(c) * step), F.lit(1 << 14)).alias(n) for c, n in zip(columns, names)])
+    return materialize(grids.groupBy("g").agg(*[((_quantile(n, 0.5) + 0.5) / step).alias(n) for n in names]), "medians")
+
+
+def _step(rows: DataFrame, factors: DataFrame, by: tuple[str, ...] = ("g",)) -> DataFrame:
+    """A concentration step: the estimates of the documents nearest to the estimates so far."""
+    near = _nearest(_distance(rows, factors, by[1:]), COVERED, by)
+    return materialize(_cholesky(_moments(near, by), by), "estimate")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(g, x...) of documents that no fixed rule rejects -> g, means and Cholesky factors of the least determinant found."""
+    centred = rows.join(_middles(rows, X, [f"med{i}" for i in range(D)]), "g")
+    centred = centred.select("g", *X, *[F.abs(F.col(x) - F.col(f"med{i}")).alias(f"a{i}") for i, x in enumerate(X)])
+    scaled = centred.join(_middles(centred, [f"a{i}" for i in range(D)], [f"mad{i}" for i in range(D)]), "g")
+    by_spread = [F.pow(F.col(f"a{i}") / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(FLOOR[i])), 2) for i in range(D)]
+    by_floor = [F.pow(F.col(f"a{i}") / FLOOR[i], 2) for i in range(D)]
+    starts = F.array(sum(by_spread[1:], by_spread[0]), sum(by_floor[1:], by_floor[0]), F.greatest(*by_spread))
+    each = scaled.select("g", *X, F.posexplode(starts).alias("start", "d2"))
+    both = ("g", "start")
+    factors = materialize(_cholesky(_moments(_nearest(each, 0.5, both), both), both), "estimate")
+    for _ in range(FIRST):
+        factors = _step(rows, factors, both)
+    values = [c for c in factors.columns if c not in both]
+    best = factors.groupBy("g").agg(F.min(F.struct("volume", "start", *[c for c in values if c != "volume"])).alias("x"))
+    active = materialize(best.select("g", *[f"x.{c}" for c in values]), "estimate")
+    found = active.limit(0)
+    for _ in range(MOST_STEPS):
+        # Only groups whose determinant still falls go on; a step that doesn't lower it is not taken.
+        old = active.select("g", F.col("volume").alias("old"))
+        better = materialize(_step(rows, active).join(old, "g").where(F.col("volume") < F.col("old") - LEAST_GAIN).drop("old"), "better")
+        found = found.unionByName(active.join(better.select("g"), "g", "left_anti"))
+        active = better
+        if active.isEmpty():
+            break
+    return materialize(found.unionByName(active), "estimates").drop("volume")
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", ids: list[str] | None = None) -> DataFrame:
@@ -210,8 +220,14 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
 
     Groups are (language, source), null being a value of its own; a group with fewer than LEAST_ROWS documents is judged by
     an estimate of all documents of its language, and, where these are fewer too, by one of all documents of the table.
-    Documents that the fixed rules reject take no part in the estimates. A null text has no words and fails; repeated rows stay and count each time; an empty table gives no rows.
+    Documents that the fixed rules reject take no part in the estimates. A null text has no words and fails; repeated rows
+    stay and count each time; ties in distance fall on one side together; an empty table gives no rows.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_judged(docs, text_col, lang_col, source_col, ids))
+
+
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, ids: list[str] | None) -> DataFrame:
     ids = ids if ids is not None else [c for c in docs.columns if c != text_col]
     frame = docs.select(
         *[F.col(f"`{c}`").alias(f"__id{k}") for k, c in enumerate(ids)],

@@ -2,9 +2,10 @@
 
 Two first-order Markov models over ASCII characters are trained from labelled samples: random strings (label 1, drawn
 from the usual alphabets of keys by a seeded generator) and ordinary identifiers (label 0, made of the corpus's own
-words: plain, joined in camel, snake and kebab case, with numbers). A run of identifier characters that overlaps no
-pattern match is a secret if its log-likelihood ratio per character passes a threshold, which is set between the two
-classes on held-out labelled strings.
+words: plain, joined in camel, snake and kebab case, with numbers). A run of identifier characters of LEAST or more, or
+the part of one that pattern matches leave over, is a secret if its log-likelihood ratio per character passes a
+threshold. The threshold is set between the two classes on held-out labelled strings, for short and for long runs apart,
+as few characters tell less; shorter runs than LEAST aren't judged, since words and keys are not told apart there.
 
 Spans are (kind, start, end) in code points, end exclusive. Kinds, in order: assign, access, hex, markov.
 """
@@ -33,10 +34,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: What the models judge.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST, LONG = 16, 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Documents whose words make the ordinary identifiers: this many at most, those with the least hash.
 TRAIN_ROWS = 400
+#: Different words of these documents that reach the driver, at most: those with the least hash. A word has 24 letters at most.
+TRAIN_WORDS = 50_000
 #: Labelled strings of each class.
 TRAIN_STRINGS = 20_000
 MASK = "[SECRET]"
@@ -64,14 +68,17 @@ def base_spans(text: str) -> list[Span]:
 class MarkovRatio:
     """Log-likelihood ratio of random strings against identifiers, by character transitions."""
 
-    def __init__(self, table: dict[str, float], threshold: float):
-        self.table, self.threshold = table, threshold
+    def __init__(self, table: dict[str, float], threshold: float, short: float | None = None):
+        self.table, self.threshold, self.short = table, threshold, threshold if short is None else short
 
     def score(self, s: str) -> float:
         """Mean log-ratio of the transitions of ``s`` (natural logarithm)."""
         table = self.table
         return sum([table[s[i : i + 2]] for i in range(len(s) - 1)]) / (len(s) - 1)
 
+    def is_secret(self, s: str) -> bool:
+        return self.score(s) > (self.threshold if len(s) >= LONG else self.short)
+
     @classmethod
     def train(cls, ordinary: Iterable[str], secret: Iterable[str]) -> MarkovRatio:
         """Fit both models on three quarters of the labelled strings and set the threshold on the rest."""
@@ -86,27 +93,33 @@ class MarkovRatio:
                     total[s[i]] += 1
             logs.append({p: math.log(n / total[p[0]]) for p, n in count.items()})
         model = cls({p: logs[1][p] - logs[0][p] for p in logs[0]}, 0.0)
-        low = sorted(model.score(s) for s in samples[0][len(samples[0]) * 3 // 4 :])
-        high = sorted(model.score(s) for s in samples[1][len(samples[1]) * 3 // 4 :])
-        # Halfway between the largest ordinary score and the first percentile of the secret ones, but never below zero.
-        top = low[-1] if low else 0.0
-        model.threshold = max(0.2, (top + max(top, high[len(high) // 100])) / 2) if high else math.inf
+        rest = [x[len(x) * 3 // 4 :] for x in samples]
+        model.threshold = model._between([[s for s in x if len(s) >= LONG] for x in rest])
+        model.short = max(model.threshold, model._between([[s[: LEAST + k % (LONG - LEAST)] for k, s in enumerate(x)] for x in rest]))
         return model
 
+    def _between(self, held_out: list[list[str]]) -> float:
+        """Halfway between the largest ordinary score and the first percentile of the secret ones, but never below 0.2."""
+        low, high = (sorted(map(self.score, x)) for x in held_out)
+        top = low[-1] if low else 0.0
+        return max(0.2, (top + max(top, high[len(high) // 100])) / 2) if high else math.inf
+
 
-def labelled_strings(texts: Iterable[str | None], seed: int = 7, n: int = TRAIN_STRINGS) -> tuple[list[str], list[str]]:
-    """(ordinary identifiers, random strings), n of each, from the words of some texts and a seeded generator."""
+def ordinary_words(text: str | None) -> list[str]:
+    """The different words of a text outside of pattern matches."""
+    text = text or ""
+    kept, at = [], 0
+    for _, a, b in base_spans(text):
+        kept.append(text[at:a])
+        at = max(at, b)
+    kept.append(text[at:])
+    return sorted(set(re.findall(r"[A-Za-z]{2,24}", " ".join(kept))))
+
+
+def labelled_strings(words: Iterable[str], seed: int = 7, n: int = TRAIN_STRINGS) -> tuple[list[str], list[str]]:
+    """(ordinary identifiers, random strings), n of each, from some words and a seeded generator."""
     rng = random.Random(seed)
-    words: list[str] = []
-    for t in texts:
-        found = base_spans(t or "")
-        kept, at = [], 0
-        for _, a, b in found:
-            kept.append((t or "")[at:a])
-            at = max(at, b)
-        kept.append((t or "")[at:])
-        words += re.findall(r"[A-Za-z]{2,24}", " ".join(kept))
-    words = words or ["word", "name", "value", "index", "number", "the", "section", "title"]
+    words = sorted(words) or ["word", "name", "value", "index", "number", "the", "section", "title"]
     pick = lambda: rng.choice(words)
     ordinary = []
     while len(ordinary) < n:
@@ -127,7 +140,7 @@ def labelled_strings(texts: Iterable[str | None], seed: int = 7, n: int = TRAIN_
         )
         if rng.random() < 0.2:
             s += rng.choice(["", "_", "-", "/"]) + str(rng.randrange(10 ** rng.randint(1, 8)))
-        if len(s) >= 20:
+        if len(s) >= LEAST:
             ordinary.append(s)
     alphabets = (
         string.ascii_letters + string.digits,
@@ -137,7 +150,7 @@ def labelled_strings(texts: Iterable[str | None], seed: int = 7, n: int = TRAIN_
         string.ascii_lowercase + string.digits,
         "0123456789ABCDEF",
     )
-    secret = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))) for _ in range(n)]
+    secret = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(LONG, 64))) for _ in range(n)]
     return ordinary, secret
 
 
@@ -148,7 +161,10 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS) -> Ma
     share = min(span, -(-4 * rows * span // max(1, docs.count())))
     sample = docs.select(F.col(f"`{text_col}`").alias("t")).where("t is not null").withColumn("h", F.xxhash64("t"))
     sample = sample.where(F.pmod("h", F.lit(span)) < share).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(rows)
-    return MarkovRatio.train(*labelled_strings([r["t"] for r in sample.collect()]))
+    make = lambda: lambda texts: ([ordinary_words(t) for t in texts],)
+    words = append_columns(sample, ["t"], make, [T.StructField("words", T.ArrayType(T.StringType()))], keep=[])
+    words = words.select(F.explode("words").alias("word")).distinct().orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS)
+    return MarkovRatio.train(*labelled_strings(r["word"] for r in words.collect()))
 
 
 def all_spans(text: str, model: MarkovRatio) -> tuple[list[Span], list[Span]]:
@@ -156,9 +172,11 @@ def all_spans(text: str, model: MarkovRatio) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if model.score(text[a:b]) > model.threshold and not any(x < b and a < y for _, x, y in base):
-            more.append((3, a, b))
+        at = m.start()
+        for a, b in [(x, y) for _, x, y in base if x < m.end() and m.start() < y] + [(m.end(), m.end())]:
+            if a - at >= LEAST and model.is_secret(text[at:a]):
+                more.append((3, at, a))
+            at = max(at, b)
     return base, sorted(base + more, key=lambda s: (s[1], s[0])) if more else base
 
 
@@ -203,10 +221,10 @@ def scan(
     A null text counts as empty and has no span (its ``redacted`` stays null). Rows stay as they are, repeated ones too;
     a column named like an output is replaced by it; an empty table gives an empty one.
     """
-    table, threshold = model.table, model.threshold
+    parts = model.table, model.threshold, model.short
 
     def make():
-        own = MarkovRatio(table, threshold)
+        own = MarkovRatio(*parts)
 
         def compute(texts: list[str | None]) -> tuple:
             cols: dict[str, list] = {o: [] for o in outputs}

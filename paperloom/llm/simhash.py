@@ -6,7 +6,7 @@ at least, so each choice of m - radius blocks is a table, keyed by the bits of t
 follows the number of different fingerprints; any m gives the same links.
 
 Rows of a key are compared bit-sliced: 64 fingerprints are stored as 64 words, word k holding bit k of all of them. A
-query's bit k turns word k into the lanes that differ, and carry-save counters of three words add them up for 64
+query's bit k turns word k into the lanes that differ, and carry-save counters add them up, 8 bits at a time, for 64
 fingerprints at once. After every 8 bits, words whose lanes have all passed the radius are abandoned. Keys with very many
 rows are cut into tiles of a bounded size, each pair of tiles being a group of its own, so nothing is dropped. A group
 returns only the edges of a spanning forest of its links.
@@ -14,7 +14,7 @@ returns only the edges of a spanning forest of its links.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import append_columns, materialize, without
+from paperloom.llm.common import append_columns, materialize, scratch
 from paperloom.llm.components import connected_components
 
 #: Rows of one key up to which they form one group; larger keys are cut into tiles of about this size.
 TILE = 4096
 #: Rows that a key is meant to have on average.
 PER_KEY = 256
+#: Rows of one fingerprint from which it is joined by broadcast.
+HOT = 1_000_000
 #: Pairs of a query and a word of lanes that are compared together.
 STRIP = 16_384
 
@@ -88,43 +90,57 @@ def _signed(x: int) -> int:
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
-    """(64, words): word w of plane k has bit k of the fingerprints 64w to 64w + 63."""
-    words = -(-len(prints) // 64)
-    padded = np.zeros(words * 64, dtype="<u8")
+    """(bits, words): word w of plane k has bit k of the fingerprints 64w to 64w + 63. A fingerprint is one or more u64."""
+    prints = prints.reshape(len(prints), -1)
+    words, limbs = -(-len(prints) // 64), prints.shape[1]
+    padded = np.zeros((words * 64, limbs), dtype="<u8")
     padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(words, 64, 8), axis=2, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(words, 64, 8 * limbs), axis=2, bitorder="little")
     packed = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(packed.reshape(64, words * 8)).view("<u8")
+    return np.ascontiguousarray(packed.reshape(64 * limbs, words * 8)).view("<u8")
+
+
+def _carry_save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lane by lane, a + b + c as (ones, twos)."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
 
 
 def close_lanes(
     planes: np.ndarray, queries: np.ndarray, words: np.ndarray, lanes: np.ndarray, radius: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs (query fingerprint, word, lanes that count): the pairs that have lanes within the radius, and these lanes."""
-    if not 0 <= radius <= 6:
-        raise ValueError("radius is 0 to 6")
+    """For pairs (query fingerprint, word, lanes that count): the pairs that have lanes within the radius, and these lanes.
+
+    A lane's counter starts so that it overflows with the first differing bit beyond the radius.
+    """
+    if not 0 <= radius < 64:
+        raise ValueError("radius is 0 to 63")
+    queries = queries.reshape(len(queries), -1)
     at = np.arange(len(queries))
-    ones = twos = fours = more = np.zeros(len(queries), dtype=np.uint64)
+    levels = max(3, (radius).bit_length())
+    start = (1 << levels) - radius - 1
+    count = [np.full(len(queries), ~np.uint64(0) if start >> v & 1 else np.uint64(0)) for v in range(levels)]
     alive = lanes
-    for k in range(64):
-        differ = planes[k][words] ^ (np.uint64(0) - ((queries >> np.uint64(k)) & np.uint64(1)))
-        carry = ones & differ
-        ones = ones ^ differ
-        carry2 = twos & carry
-        twos = twos ^ carry
-        more = more | (fours & carry2)
-        fours = fours ^ carry2
-        if k % 8 == 7:
-            past = more.copy()
-            for v in range(radius + 1, 8):
-                past |= (ones if v & 1 else ~ones) & (twos if v & 2 else ~twos) & (fours if v & 4 else ~fours)
-            alive = alive & ~past
-            keep = alive != 0
-            if not keep.all():
-                at, queries, words, alive = at[keep], queries[keep], words[keep], alive[keep]
-                ones, twos, fours, more = ones[keep], twos[keep], fours[keep], more[keep]
-                if not len(at):
-                    break
+    for k in range(0, len(planes), 8):
+        limb = queries[:, k // 64] >> np.uint64(k % 64)
+        d = [planes[k + i][words] ^ (np.uint64(0) - ((limb >> np.uint64(i)) & np.uint64(1))) for i in range(8)]
+        ones, two1 = _carry_save(count[0], d[0], d[1])
+        ones, two2 = _carry_save(ones, d[2], d[3])
+        twos, four1 = _carry_save(count[1], two1, two2)
+        ones, two1 = _carry_save(ones, d[4], d[5])
+        ones, two2 = _carry_save(ones, d[6], d[7])
+        twos, four2 = _carry_save(twos, two1, two2)
+        fours, carry = _carry_save(count[2], four1, four2)
+        count[:3] = ones, twos, fours
+        for v in range(3, levels):
+            count[v], carry = count[v] ^ carry, count[v] & carry
+        alive = alive & ~carry
+        keep = alive != 0
+        if not keep.all():
+            at, queries, words, alive = at[keep], queries[keep], words[keep], alive[keep]
+            count = [c[keep] for c in count]
+            if not len(at):
+                break
     return at, alive
 
 
@@ -168,13 +184,16 @@ def forest(prints: np.ndarray, first: np.ndarray, end: np.ndarray, radius: int)
     return linked, label[linked]
 
 
-def _link_groups(radius: int):
-    """Arrow batches sorted by group -> spanning edges; groups are whole within a partition."""
+def _link_groups(radius: int, names: tuple[str, ...] = ("fp",), label: str = "fp"):
+    """Arrow batches sorted by group -> spanning edges; groups are whole within a partition.
+
+    ``names`` are the columns of a fingerprint's u64s; an edge is a pair of values of ``label``.
+    """
     import pyarrow as pa
 
     def edges(t: pa.Table) -> pa.RecordBatch:
-        cols = [t.column(c).to_numpy() for c in ("t", "key", "lo", "hi", "chunk", "fp")]
-        prints = cols[5].view(np.uint64)
+        cols = [t.column(c).to_numpy() for c in ("t", "key", "lo", "hi", "chunk", *names)]
+        prints = np.stack([c.view(np.uint64) for c in cols[5:]], axis=1)
         new = np.ones(len(prints), dtype=bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
         starts = np.flatnonzero(new)
@@ -189,7 +208,8 @@ def _link_groups(radius: int):
             np.minimum.at(second, group[cross & ~inner], np.flatnonzero(cross & ~inner))
             first = np.where(inner, np.minimum(second[group], end), np.where(cross, end, first))
         a, b = forest(prints, first, end, radius)
-        return pa.RecordBatch.from_arrays([pa.array(cols[5][a]), pa.array(cols[5][b])], names=["u", "v"])
+        name = t.column(label).to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -211,18 +231,12 @@ def _link_groups(radius: int):
     return run
 
 
-def link_edges(prints: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """Edges (u, v) that connect what links among the different fingerprints in column ``fp``; n: how many they are."""
-    masks = [_signed(m) for m in block_masks(blocks_for(n, radius), radius)]
-    keyed = prints.select(
-        "fp",
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-        ).alias("x"),
-    ).select("x.t", "x.key", "fp")
+def grouped_edges(keyed: DataFrame, radius: int, names: tuple[str, ...] = ("fp",), label: str = "fp") -> DataFrame:
+    """(t, key, names..., label) -> edges (u, v) that connect what links among the rows of each key; large keys go by pairs of tiles."""
     large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {TILE}")
     large = materialize(large.select("t", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "large-keys")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    columns = list(dict.fromkeys([*names, label]))
+    chunk = F.pmod(F.xxhash64(label), F.col("tiles")).cast("int")
     if large.isEmpty():
         tiled = keyed.withColumns({"lo": F.lit(0), "hi": F.lit(0), "chunk": F.lit(0)})
     else:
@@ -232,16 +246,29 @@ def link_edges(prints: DataFrame, n: int, radius: int = 4) -> DataFrame:
             .withColumn("chunk", chunk)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
             .withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
-            .select("t", "key", "fp", "lo", "hi", "chunk")
+            .select("t", "key", *columns, "lo", "hi", "chunk")
         )
     group = ["t", "key", "lo", "hi"]
     return (
-        tiled.repartition(*group)
-        .sortWithinPartitions(*group, "chunk", "fp")
-        .mapInArrow(_link_groups(radius), "u long, v long")
+        tiled.select(*group, "chunk", *columns)
+        .repartition(*group)
+        .sortWithinPartitions(*group, "chunk", label)
+        .mapInArrow(_link_groups(radius, names, label), "u long, v long")
     )
 
 
+def link_edges(prints: DataFrame, n: int, radius: int = 4) -> DataFrame:
+    """Edges (u, v) that connect what links among the different fingerprints in column ``fp``; n: how many they are."""
+    masks = [_signed(m) for m in block_masks(blocks_for(n, radius), radius)]
+    keyed = prints.select(
+        "fp",
+        F.explode(
+            F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+        ).alias("x"),
+    ).select("x.t", "x.key", "fp")
+    return grouped_edges(keyed, radius)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of ``docs``: its id, ``fp`` (long), ``root_fp`` (its component) and ``component_id``.
 
@@ -249,63 +276,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     word have the fingerprint zero and link like any other; repeated rows and equal ids stay; an empty table gives none.
     Texts are read once, whole; what is shuffled is ids and fingerprints.
     """
-    prints = with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), keep=["id"], name="fp")
-    return _components(materialize(prints, "fingerprints"), radius).withColumnRenamed("id", id_col)
-
-
-def _components(prints: DataFrame, radius: int) -> DataFrame:
-    """(id, fp) -> (id, fp, root_fp, component_id)."""
-    return labelled(prints, lambda nodes: connected_components(link_edges(nodes.select("fp"), nodes.count(), radius), "linked"))
-
-
-def labelled(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, fp) -> (id, fp, root_fp, component_id); ``find`` gives (node, root) of the linked among the different fp."""
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = find(nodes)
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    joined = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_least"))
-    named = materialize(members.join(least, "root"), "named")
-    placed = nodes.join(named, nodes["fp"] == named["node"], "left").select(
-        F.col("fp"),
-        F.coalesce("root", "fp").alias("root_fp"),
-        F.when(F.col("root").isNotNull(), F.col("component_least")).otherwise(F.col("least")).alias("component_id"),
-    )
-    return prints.join(placed, "fp").select("id", "fp", "root_fp", "component_id")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (nulls last); one of them if rows repeat.
-
-    Columns stay as they are. Texts are written once, with their fingerprints.
-    """
-    inner = "__pl_fp"
-    frame = materialize(with_fingerprint(without(docs, [inner]), text_col, width, name=inner), "with-fingerprints")
-    small = frame.select(F.col(f"`{id_col}`").alias("id"), F.col(inner).alias("fp"))
-    return least_rows(frame, id_col, inner, small, _components(small, radius), docs.columns)
-
-
-def least_rows(frame: DataFrame, id_col: str, inner: str, small: DataFrame, components: DataFrame, names: list[str]) -> DataFrame:
-    """The columns ``names`` of the row of ``frame`` with each component's smallest id; ``small``: its ids and column ``inner``."""
-    ident = F.col(f"`{id_col}`")
-    found = components.groupBy("root_fp").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("x")
-    )
-    chosen = found.select(F.col("x.id").alias("__pl_id"), F.col("x.fp").alias("__pl_of"))
-    times = small.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("__pl_n"))
-    chosen = materialize(
-        chosen.join(times, chosen["__pl_id"].eqNullSafe(times["id"]) & (chosen["__pl_of"] == times["fp"])).select(
-            "__pl_id", "__pl_of", "__pl_n"
-        ),
-        "chosen",
-    )
-    kept = frame.join(chosen, ident.eqNullSafe(F.col("__pl_id")) & (F.col(inner) == F.col("__pl_of")))
-    columns = [F.col(f"`{c}`") for c in names]
-    once = kept.where("__pl_n = 1").select(*columns)
-    if chosen.where("__pl_n > 1").isEmpty():
-        return once
-    again = kept.where("__pl_n > 1").dropDuplicates(["__pl_id", "__pl_of"]).select(*columns)
-    return once.unionByName(again)
+    with scratch(docs.sparkSession) as keep:
+        prints = with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), keep=["id"], name="fp", width=width)
+        prints = materialize(prints, "fingerprints")
+        nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+        roots = connected_components(link_edges(nodes.select("fp"), nodes.count(), radius), "linked")
+        members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        joined = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "least")
+        named = materialize(members.join(joined.groupBy("root").agg(F.min("least").alias("component_least")), "root"), "named")
+        placed = nodes.join(named, nodes["fp"] == named["node"], "left").select(
+            F.col("fp"),
+            F.coalesce("root", "fp").alias("root_fp"),
+            F.when(F.col("root").isNotNull(), F.col("component_least")).otherwise(F.col("least")).alias("component_id"),
+            (F.col("n") >= HOT).alias("hot"),
+        )
+        placed = materialize(placed, "placed")
+        hot = placed.where("hot").select(F.col("fp").alias("hot_fp"), F.col("root_fp").alias("hot_root"), F.col("component_id").alias("hot_id"))
+        if hot.isEmpty():
+            return keep(prints.join(placed.drop("hot"), "fp").select(F.col("id").alias(id_col), "fp", "root_fp", "component_id"))
+        # There is one hot fingerprint for HOT rows at most, so these few are sent to every task; the rest are joined.
+        seen = prints.join(F.broadcast(hot), F.col("fp") == F.col("hot_fp"), "left")
+        rest = seen.where("hot_fp is null").select("id", "fp").join(placed.where("not hot").drop("hot"), "fp")
+        found = seen.where("hot_fp is not null").select("id", "fp", F.col("hot_root").alias("root_fp"), F.col("hot_id").alias("component_id"))
+        return keep(found.unionByName(rest).select(F.col("id").alias(id_col), "fp", "root_fp", "component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:

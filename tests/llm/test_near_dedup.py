@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from paperloom.llm import jaccard
+from paperloom.llm import near_dedup
 from tests.llm.conftest import DOCS, lorem
 
 
@@ -31,7 +31,7 @@ def plain_least(texts):
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_near_dedup_stage_equals_brute_force(spark, monkeypatch, tile):
     """Similarities on both sides of 0.8, also with buckets cut into tiny tiles."""
-    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     rng = random.Random(5)
     texts = [lorem(s, 120) for s in range(20)]
     for s in range(80):
@@ -48,7 +48,7 @@ def test_near_dedup_stage_equals_brute_force(spark, monkeypatch, tile):
 
 
 def test_near_dedup_rows(spark, odd_docs, clashing):
-    out = jaccard.near_dedup(clashing)
+    out = near_dedup.near_dedup(clashing)
     ids = [r["doc_id"] for r in out.collect()]
     assert out.columns == clashing.columns and len(ids) == len(set(ids)) and 1 in ids and 2 not in ids and 3 not in ids
-    assert jaccard.near_dedup(odd_docs.limit(0)).count() == 0
+    assert near_dedup.near_dedup(odd_docs.limit(0)).count() == 0

@@ -84,13 +84,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile):
     assert [got[i] for i in range(len(texts))] == [(format(p, "016x"), c) for p, c in zip(prints, plain_components(prints, 4))]
 
 
-def test_near_dedup_rows(spark, odd_docs, clashing):
-    out = simhash.near_dedup(clashing)
-    assert out.columns == clashing.columns
-    ids = [r["doc_id"] for r in out.collect()]
-    kinds = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(odd_docs).collect()}
-    assert len(ids) == len(set(ids)) and 1 in ids and 2 not in ids and set(ids) == {k for k, v in kinds.items() if k == v}
-    assert simhash.near_dedup(odd_docs.limit(0)).count() == 0 and simhash.query(odd_docs.limit(0)).count() == 0
+def test_near_duplicate_rows(spark, odd_docs, clashing, monkeypatch):
+    got = simhash.near_duplicates(clashing)
+    assert got.columns == ["doc_id", "fp", "root_fp", "component_id"] and got.count() == odd_docs.count()
+    assert simhash.query(odd_docs.limit(0)).count() == 0
+    monkeypatch.setattr(simhash, "HOT", 2)  # copies by broadcast
+    hot = simhash.near_duplicates(odd_docs)
+    assert sorted(map(str, hot.collect())) == sorted(map(str, got.collect()))
+
+
+@pytest.mark.parametrize("radius", [0, 7, 28, 29, 40])
+def test_two_word_fingerprints(radius):
+    """Lanes within any radius, of fingerprints of 128 bits, against counting."""
+    rng = random.Random(radius)
+    prints = [rng.getrandbits(128) for _ in range(90)]
+    prints += [x ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 60))) for x in prints]
+    limbs = np.array([[x & (1 << 64) - 1, x >> 64] for x in prints], dtype=np.uint64)
+    planes, words = simhash.bit_planes(limbs), -(-len(prints) // 64)
+    row, word = np.repeat(np.arange(len(prints)), words), np.tile(np.arange(words), len(prints))
+    lanes = np.full(len(row), ~np.uint64(0))
+    lanes[word == words - 1] = np.uint64((1 << len(prints) % 64) - 1)
+    at, alive = simhash.close_lanes(planes, limbs[row], word, lanes, radius)
+    got = {(int(row[k]), int(word[k]) * 64 + b) for k, x in zip(at, alive) for b in range(64) if int(x) >> b & 1}
+    assert got == {(i, j) for i, x in enumerate(prints) for j, y in enumerate(prints) if (x ^ y).bit_count() <= radius}
 
 
 def test_components(spark):
@@ -116,11 +132,15 @@ def test_base_spans_equal_brute_force():
 
 
 def test_markov_model_on_held_out_strings():
-    texts = [lorem(s, 200) for s in range(20)]
-    model = secret_scan.MarkovRatio.train(*secret_scan.labelled_strings(texts, n=4000))
-    ordinary, secret = secret_scan.labelled_strings(texts, seed=99, n=2000)
-    assert sum(model.score(s) > model.threshold for s in ordinary) / 2000 < 0.01
-    assert sum(model.score(s) > model.threshold for s in secret) / 2000 > 0.9
+    words = {w for s in range(20) for w in secret_scan.ordinary_words(lorem(s, 200))}
+    model = secret_scan.MarkovRatio.train(*secret_scan.labelled_strings(words, n=4000))
+    ordinary, secret = secret_scan.labelled_strings(words, seed=99, n=2000)
+    assert sum(map(model.is_secret, ordinary)) / 2000 < 0.01
+    assert sum(map(model.is_secret, secret)) / 2000 > 0.9
+    assert sum(model.is_secret(s[:16]) for s in ordinary) / 2000 < 0.01
+    assert sum(model.is_secret(s[:18]) for s in secret) / 2000 > 0.7
+    beside = "0123456789abcdef" * 2 + "/Zk8qPx2LvW9tRb4NcYh7Qd"  # what the hex match leaves of a run
+    assert secret_scan.shown(secret_scan.all_spans(beside, model)[1]) == "hex:0:32,markov:32:55"
     text = "see Zk8qPx2LvW9tRb4NcYh7Qd in therenorthquaylightsmorning"
     assert secret_scan.shown(secret_scan.all_spans(text, model)[1]) == "markov:4:26"
 
@@ -197,6 +217,60 @@ def test_small_groups_are_judged_by_larger_ones(spark):
     assert not any(got[1000 + k] for k in range(4)) and all(got[2000 + k] for k in (0, 2, 3))
 
 
+def plain_mcd(x):
+    """(mean, covariance with floors) of a group by the module's rules, in numpy: three starts, the least determinant, to the end."""
+    floor = np.array(quality.FLOOR)
+    grid = lambda v: (np.sort(np.minimum(np.floor(v * 1024), 1 << 14), axis=0)[(len(v) - 1) // 2] + 0.5) / 1024
+    bins = lambda d: np.floor(np.log2(np.clip(d, 1e-6, 1e6)) * quality.BINS)
+
+    def nearest(d, share):
+        b = bins(d)
+        return x[b <= np.sort(b)[int(np.ceil(share * len(b))) - 1]]
+
+    def fit(y):
+        m = y.mean(axis=0)
+        return m, (y - m).T @ (y - m) / len(y) + np.diag(floor**2)
+
+    def distance(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    a = np.abs(x - grid(x))
+    z = (a / np.maximum(1.4826 * grid(a), floor)) ** 2
+    starts = []
+    for d in (z.sum(axis=1), ((a / floor) ** 2).sum(axis=1), z.max(axis=1)):
+        f = fit(nearest(d, 0.5))
+        for _ in range(quality.FIRST):
+            f = fit(nearest(distance(*f), quality.COVERED))
+        starts.append(f)
+    volume = lambda f: np.log(np.linalg.det(f[1])) / 2
+    best = min(starts, key=volume)
+    for _ in range(quality.MOST_STEPS):
+        new = fit(nearest(distance(*best), quality.COVERED))
+        if volume(new) >= volume(best) - quality.LEAST_GAIN:
+            break
+        best = new
+    return distance(*best)
+
+
+def test_verdicts_equal_a_plain_mcd(spark):
+    """Per language and source, and a tiny source by its whole large language."""
+    rng = random.Random(3)
+    junk = lambda t, k: " ".join(w + "#" * rng.randint(0, k) for w in t.split())
+    rows = [(i, junk(lorem(i, 60 + i % 90), i % 23 // 20), "en", "ab"[i % 2], 1) for i in range(240)]
+    rows += [(1000 + i, junk(lorem(i, 80), 4), "en", "tiny" if i < 5 else "a", 1) for i in range(25)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in quality.query(docs).collect()}
+    vectors = quality.with_counts(docs).select("doc_id", "lang", "source", *[v.alias(x) for v, x in zip(quality._vector(), quality.X)])
+    fine = [r for r in vectors.collect() if not got[r["doc_id"]]["base_failed"]]
+    for source, members in (("a", "a"), ("b", "b"), ("tiny", None)):
+        group = [r for r in fine if members in (None, r["source"])]
+        d2 = plain_mcd(np.array([[r[x] for x in quality.X] for r in group]))
+        for r, d in zip(group, d2):
+            if r["source"] == source and abs(d - quality.CUTOFF) > 1e-3:
+                assert got[r["doc_id"]]["kept"] == (d <= quality.CUTOFF), (r, d)
+    assert not any(got[1000 + i]["kept"] for i in range(25))
+
+
 def test_quality_rows(odd_docs, clashing):
     out = quality.query(odd_docs)
     assert out.count() == odd_docs.count()
