@@ -148,7 +148,7 @@ def picked(frame: DataFrame, marks: DataFrame, names: Sequence[str], keep: Calla
 
         store, base = fs.FileSystem.from_uri(folder)
         now, places, copies = None, np.zeros(0, np.int64), np.zeros(0, np.int32)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             files = batch.column(len(names))
             for file in files.dictionary_encode().dictionary.to_pylist():
                 if file != now:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,24 +33,32 @@ WIDTH, BITS, RADIUS = 5, 128, 29
 BIT = math.acos(1.6 / 1.8) / math.pi
 #: The share of pairs at 0.8 that may have no key in common, and the nodes that a key is meant to have.
 MISS, PER_KEY = 0.01, 4096
-#: Nodes of a cluster up to which it is one tile.
-TILE = 2048
+#: Nodes of a cluster, and bytes of their sets, up to which it is one tile.
+TILE, TILE_BYTES = 2048, 8 << 20
 #: Bytes of sets that a task holds before it compares the groups that are whole.
-HELD = 32 << 20
+HELD = 8 << 20
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted different 128-bit hashes (as pairs of u64) of a text's shingles; fewer words make one, none make none."""
+    """The 128-bit hashes (pairs of u64) of a text's different shingles, in order; fewer words make one, none make none.
+
+    Shingles are told apart by the first half of the hash.
+    """
     from xxhash import xxh128_digest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return np.zeros((0, 2), dtype="<u8")
     joined = b" ".join(words)
-    ends = [e + k for k, e in enumerate(accumulate(map(len, words)))]
-    starts = [0] + [e + 1 for e in ends]
-    found = {xxh128_digest(joined[a:b]) for a, b in zip(starts, ends[width - 1 :] or ends[-1:])}
-    return np.frombuffer(b"".join(sorted(found)), dtype="<u8").reshape(-1, 2)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    ends = ends[width - 1 :] if len(words) >= width else ends[-1:]
+    parts = []
+    for at in range(0, len(ends), 65_536):  # a part of a very long text at a time
+        cut = zip(starts[at : at + 65_536].tolist(), ends[at : at + 65_536].tolist())
+        parts.append(np.frombuffer(b"".join([xxh128_digest(joined[a:b]) for a, b in cut]), dtype="<u8").reshape(-1, 2))
+    found = np.concatenate(parts)
+    return found[np.unique(found[:, 0], return_index=True)[1]]
 
 
 def fingerprint(found: np.ndarray) -> np.ndarray:
@@ -187,16 +194,25 @@ def _search(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return materialize(rows.mapInArrow(_compare_groups, "u long, v long"), name)
 
 
+def _extent() -> list:
+    return [F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("b")]
+
+
+def _tiles(count, size):
+    """How many tiles so many nodes with sets of so many bytes are cut into."""
+    return F.greatest(F.ceil(count / TILE), F.ceil(size / TILE_BYTES), F.lit(1)).cast("int")
+
+
 def _within(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """Edges within tiles of (cluster, n, node, known)."""
-    chunk = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / TILE)).cast("int")
+    """Edges within tiles of (cluster, tiles, node, known)."""
+    chunk = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("tiles")).cast("int")
     return _search(members.withColumns({"lo": chunk, "hi": chunk}), sets, f"links-{turn}")
 
 
 def _unfinished(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Members of clusters of several tiles with what is ``known`` now, where that is more than one component."""
     roots = connected_components(edges, "known")
-    now = members.where(F.col("n") > TILE).join(roots, "node", "left").select("cluster", "n", "node", F.coalesce("root", "node").alias("known"))
+    now = members.where("tiles > 1").join(roots, "node", "left").select("cluster", "tiles", "node", "bytes", F.coalesce("root", "node").alias("known"))
     now = materialize(now, "unfinished")
     open_ = now.groupBy("cluster").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("cluster")
     return now.join(open_, "cluster")
@@ -204,12 +220,13 @@ def _unfinished(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges between all tiles of a cluster but for pairs within its largest component, whose tiles come first."""
-    parts = materialize(members.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("m")), "parts")
-    largest = parts.groupBy("cluster").agg(F.max(F.struct("m", "known")).alias("x")).select("cluster", F.col("x.known").alias("main"), F.col("x.m").alias("m"))
-    rows = members.join(largest, "cluster")
-    main = F.col("known") == F.col("main")
-    first = F.ceil(F.col("m") / TILE).cast("int")
-    rest = F.greatest(F.ceil((F.col("n") - F.col("m")) / TILE).cast("int"), F.lit(1))
+    parts = materialize(members.groupBy("cluster", "known").agg(*_extent()), "parts")
+    whole = parts.groupBy("cluster").agg(
+        F.max(F.struct("m", "known", "b")).alias("x"), F.sum("m").alias("all_m"), F.sum("b").alias("all_b")
+    )
+    first, rest = _tiles(F.col("x.m"), F.col("x.b")), _tiles(F.col("all_m") - F.col("x.m"), F.col("all_b") - F.col("x.b"))
+    rows = members.drop("tiles").join(whole.select("cluster", F.col("x.known").alias("main"), first.alias("first"), rest.alias("rest")), "cluster")
+    main, first, rest = F.col("known") == F.col("main"), F.col("first"), F.col("rest")
     spread = lambda tiles: F.pmod(F.xxhash64("node"), tiles).cast("int")
     rows = rows.withColumns({"chunk": F.when(main, spread(first)).otherwise(first + spread(rest)), "tiles": first + rest})
     others = F.when(main, F.sequence(first, F.col("tiles") - 1)).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -222,8 +239,7 @@ def similar(frame: DataFrame, nodes: DataFrame, text_col: str, keep) -> DataFram
     """(node, root) of the nodes that are linked to a smaller one. ``nodes``: (node, fp, fp2, FILE, PLACE) with a row of ``frame`` each."""
     clusters = connected_components(candidates(nodes, nodes.count()), "clusters")
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    members = materialize(members.join(sizes, "cluster").select("cluster", "n", "node"), "members")
+    members = materialize(members, "members")
     wanted = nodes.join(members.select("node"), "node").select(FILE, PLACE, F.lit(1).alias("times"))
 
     def make():
@@ -232,13 +248,15 @@ def similar(frame: DataFrame, nodes: DataFrame, text_col: str, keep) -> DataFram
         def compute(texts: list[str | None]) -> tuple:
             sets = [shingles(t) for t in texts]
             names = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], dtype=np.uint64)
-            # Half of a hash tells shingles apart as well as all of it does: 64 bits.
-            return names.view(np.int64), [np.unique(s[:, 0]).tobytes() for s in sets]
+            return names.view(np.int64), [s[:, 0].tobytes() for s in sets]
 
         return compute
 
     fields = [T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())]
     sets = materialize(append_columns(picked(frame, wanted, [text_col], keep), [text_col], make, fields, keep=[]), "sets")
+    members = members.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
+    sizes = members.groupBy("cluster").agg(*_extent()).select("cluster", _tiles(F.col("m"), F.col("b")).alias("tiles"))
+    members = materialize(members.join(sizes, "cluster").select("cluster", "tiles", "node", "bytes"), "members")
     edges = _within(members.withColumn("known", F.col("node")), sets, 0)
     open_ = _unfinished(members, edges)
     if not open_.isEmpty():

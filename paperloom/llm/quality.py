@@ -45,9 +45,9 @@ def count_words(text: Column) -> Column:
 def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) of whole texts; a null text has no words.
 
-    A text whose three-word windows all have different hashes repeats none. In the others, windows are sorted by their words
-    and place, so equal ones are neighbours, whatever their hashes. Columns of the new names are replaced. A very long text
-    is counted whole; its words, and the windows of a text that repeats some, are in memory together.
+    Windows of three words are hashed, and the hash's low bits give way to the window's place; sorted, equal hashes are
+    neighbours. What they name is sorted by its words, so equal windows are neighbours and others are not taken for equal,
+    whatever their hashes. Columns of the new names are replaced. A very long text is counted whole, in memory.
     """
     docs = without(docs, STATS)
     carried = [f"`{c}`" for c in (keep if keep is not None else docs.columns) if c.lower() not in STATS]
@@ -65,28 +65,36 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
         "cast(size(__w) as bigint) as n_words",
         "cast(length(array_join(__w, '')) as bigint) as word_chars",
         "cast(size(__l) - size(array_distinct(__l)) as bigint) as n_dup_lines",
-        """case when size(__w) < 4 then cast(array() as array<bigint>) else
-             transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])) end as __h""",
+        "size(__w) - 2 as __n",
+        "cast(ceil(log2(greatest(size(__w), 2))) as int) as __b",
     )
     three = two.selectExpr(
-        *carried,
-        *("__w", "n_symbols", "n_words", "word_chars", "n_dup_lines"),
-        """case when size(array_distinct(__h)) = size(__h) then null else
-             array_sort(transform(sequence(0, size(__w) - 3),
-               i -> struct(concat_ws(' ', __w[i], __w[i + 1], __w[i + 2]) as s, i as i))) end as __s""",
+        "*",
+        """case when __n < 2 then cast(array() as array<bigint>) else
+             sort_array(transform(sequence(0, __n - 1),
+               i -> shiftleft(xxhash64(__w[i], __w[i + 1], __w[i + 2]), __b) | cast(i as bigint))) end as __s""",
     )
+    # Places whose hash is found twice, then of these, sorted by their words, the neighbours that agree.
     four = three.selectExpr(
         "*",
-        """transform(filter(__s, (x, j) -> (j > 0 and __s[j - 1].s = x.s) or (j + 1 < size(__s) and get(__s, j + 1).s = x.s)),
-             x -> x.i) as __q""",
+        """transform(filter(__s, (x, j) ->
+               (j > 0 and shiftright(__s[j - 1], __b) = shiftright(x, __b)) or
+               (j + 1 < __n and shiftright(get(__s, j + 1), __b) = shiftright(x, __b))),
+             x -> cast(x & (shiftleft(1L, __b) - 1L) as int)) as __p""",
+    )
+    five = four.selectExpr("*", "array_sort(transform(__p, p -> struct(concat_ws(' ', __w[p], __w[p + 1], __w[p + 2]) as s, p as p))) as __r")
+    six = five.selectExpr(
+        "*",
+        """transform(filter(__r, (x, j) -> (j > 0 and __r[j - 1].s = x.s) or (j + 1 < size(__r) and get(__r, j + 1).s = x.s)),
+             x -> x.p) as __q""",
     )
-    return four.selectExpr(
+    return six.selectExpr(
         *carried,
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        """cast(case when __q is null or size(__q) = 0 then 0 else
+        """cast(case when size(__q) = 0 then 0 else
              size(array_distinct(flatten(transform(__q, p -> array(p, p + 1, p + 2))))) end as bigint) as n_repeat_words""",
     )
 
