@@ -16,8 +16,9 @@ Key: one byte (0 null id, 1 otherwise), the id as 8 big-endian bytes with its si
 tells rows of one id apart; byte order is id order, nulls first. Value: ids as little-endian
 integers, the end id last; an id takes 2 bytes if the vocabulary allows it, else 4.
 
-Shards are written from range-partitioned, sorted rows: first under a name of the attempt, then renamed, so a task that
-runs again after an executor is lost replaces its shard by the same bytes.
+Shards are written from range-partitioned, sorted rows, under names of the attempt; the manifest, which Spark commits for
+one attempt of a task, says which of them count. So a task may run again, or twice at a time, and no file that is read is
+ever replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import normalize
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -213,23 +216,51 @@ class Shard:
 class WordIds:
     """Token ids of whole texts by the tokenizers library, remembered by what stands between white space.
 
-    The tokenizer drops white space, lower-cases, and cuts letters from what is no letter, so text between blanks or line
-    feeds is encoded alone, ASCII capitals are the same as small letters, and a period or comma behind letters stands for
-    itself. Words that this doesn't lead back to known ones are encoded together; a token that ends a word ends its ids.
+    Text between blanks or line feeds is encoded alone if the tokenizer's own file says that this changes nothing: its
+    normalizer composes (NFC), makes white space one blank and lower-cases, and its pre-tokenizer drops what is between words. With
+    any other rules every text is encoded whole. A period or comma behind letters stands for itself, where the word is all
+    letters once normalized; ASCII capitals are the same as small letters. Words that this doesn't lead back to known ones
+    are encoded together; a token that ends a word ends its ids. Of the words that a batch brings, some (and all others than ASCII
+    before a period or comma) are encoded a second time as they stand, and the task fails if that differs.
     """
 
+    #: Of so many new words, one is encoded again as it stands.
+    CHECK_EVERY = 64
+
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        rules = json.loads(self.library.to_str())
+        self.by_word = self._splits(rules)
+        self.marks = {t["content"][0] for t in rules["added_tokens"]}  # a piece that may hold a special token has one of these
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(tokens.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    @staticmethod
+    def _splits(rules: dict) -> bool:
+        """Whether the rules are those under which text between blanks is encoded alone."""
+        steps = (rules["normalizer"] or {}).get("normalizers", [])
+        blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        cut = ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        return (
+            [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and steps[1] == blank
+            and cut.get("type") == "Split"
+            and (cut.get("behavior"), cut.get("invert")) == ("Removed", True)
+            and r"[\p{L}]+" in cut["pattern"].get("Regex", "")
+            and rules["model"]["type"] == "BPE"
+            and rules["model"]["end_of_word_suffix"] == "</w>"
+            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
+        )
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -238,23 +269,30 @@ class WordIds:
         out = self.library.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
         self.known.update(zip(pieces, (self.pack(e.ids) for e in out)))
 
+    @staticmethod
+    def _letters(word: str) -> bool:
+        """Whether a word is all letters, also as the tokenizer sees it: composed and in lower case."""
+        return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
     def _learn(self, pieces: set[str]) -> None:
         known = self.known
-        plain = {p for p in pieces if "<" not in p}  # special tokens hold it
-        self._encode(list(pieces - plain))
-        lower = {p: p.encode().lower().decode() for p in plain}
+        odd = [p for p in pieces if any(c in p for c in self.marks)]
+        self._encode(odd)
+        plain = pieces.difference(odd)
+        lower = {
+            p: p.lower() if p.isascii() else p.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for p in plain
+        }
         # A word with a period or comma behind it: (word, what follows).
         ends: dict[str, tuple[str, str]] = {}
         need = set()
         for low in set(lower.values()).difference(known):
-            head = low.rstrip(".,")
-            if head.isalpha() and len(head) < len(low):
+            if low[-1:] in (".", ",") and self._letters(head := low.rstrip(".,")):
                 ends[low] = head, low[len(head) :]
                 need.update(ends[low])
             else:
                 need.add(low)
         rest = need.difference(known)
-        words = [p for p in rest if p.isalpha()]
+        words = [p for p in rest if self._letters(p)]
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
@@ -266,16 +304,22 @@ class WordIds:
             known.update(zip(part, (whole[a:b] for a, b in zip(cut, cut[1:]))))
         self._encode(list(rest.difference(words)))
         known.update((low, known[head] + known[tail]) for low, (head, tail) in ends.items())
-        known.update((p, known[low]) for p, low in lower.items())
+        known.update((p, known[low]) for p, low in lower.items() if p != low)
+        tried = list(plain)[:: self.CHECK_EVERY] + [p for p, low in lower.items() if low in ends and not p.isascii()]
+        for p, e in zip(tried, self.library.encode_batch_fast(tried, add_special_tokens=False) if tried else ()):
+            if known[p] != self.pack(e.ids):
+                raise ValueError(f"the library has other ids for {p!r}")
 
     def values(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > REMEMBER // 2:  # what isn't met again before this half is full is forgotten
+            self.known, self.before = {}, self.known
         fresh = set(chain.from_iterable(cut)).difference(self.known)
-        if fresh:
-            if len(self.known) + 2 * len(fresh) > REMEMBER:
-                self.known.clear()
-                fresh = set(chain.from_iterable(cut))
-            self._learn(fresh)
+        again = fresh.intersection(self.before)
+        self.known.update((w, self.before[w]) for w in again)
+        self._learn(fresh - again)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -308,7 +352,8 @@ def write_shards(
 
     Manifest: file, part, piece, documents, tokens, bytes; in the order of (part, piece) ids ascend over all shards. Null
     texts count as empty (the end id alone), null ids come first, repeated rows stay. ``folder`` is a URI that pyarrow's
-    file systems open on every executor. An empty table writes no shard.
+    file systems open on every executor; files there that the manifest doesn't name don't count. An empty table writes no
+    shard. Very long texts are encoded whole; columns but the two named play no part.
     """
     import pyarrow as pa
 
@@ -324,13 +369,9 @@ def write_shards(
         done: list[tuple] = []
 
         def close(shard: ShardWriter) -> None:
-            name, data = f"part-{part:06d}-{len(done):05d}.sst", shard.finish()
-            attempt = f"{base}/.{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(attempt) as f:
+            name, data = f"part-{part:06d}-{len(done):05d}-{uuid.uuid4().hex}.sst", shard.finish()
+            with store.open_output_stream(f"{base}/{name}") as f:
                 f.write(data)
-            if store.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
-                store.delete_file(f"{base}/{name}")
-            store.move(attempt, f"{base}/{name}")
             done.append((name, part, len(done), len(shard.keys), shard.tokens, len(data)))
 
         def rows() -> Iterator[tuple[int | None, str]]:

@@ -60,6 +60,27 @@ def test_words_equal_the_library(text):
     assert own.values([text]) == [own.pack(own.library.encode(text, add_special_tokens=False).ids)]
 
 
+def test_letters_whose_lower_case_is_more():
+    """Every letter that isn't one letter in lower case or composed, and some that are, before stops and alone."""
+    own = sstable.WordIds(WORDS)
+    odd = [c for c in map(chr, range(0x20000)) if c.isalpha() and (len(c.lower()) > 1 or not c.lower().isalpha() or not sstable.normalize("NFC", c).isalpha())]
+    assert "\u0130" in odd
+    for c in [*odd, "\u00c9", "\u03a3", "\u01c5", "\u00df", "\u212b", "e\u0301", "\u1e9e"]:
+        for text in (f"{c}. x", f"{c}, x", f"{c}", f"a{c}. B{c}", f"{c}a., {c}{c}.."):
+            assert own.values([text]) == [own.pack(own.library.encode(text, add_special_tokens=False).ids)], text
+
+
+def test_other_tokenizers_are_not_cut_at_blanks(tmp_path):
+    import json
+
+    rules = json.loads(open(WORDS, encoding="utf-8").read())
+    rules["normalizer"]["normalizers"][1]["content"] = "  "
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    own = sstable.WordIds(str(tmp_path / "other.json"))
+    assert not own.by_word and sstable.WordIds(WORDS).by_word
+    assert own.values(["Two words."]) == [own.pack(own.library.encode("Two words.", add_special_tokens=False).ids)]
+
+
 def test_special_tokens_in_texts():
     own = sstable.word_ids(WORDS)
     for text in ("<|endoftext|>", "a<|ENDOFTEXT|>b. c,", "x,<|startoftext|>. it's don't", "a..b ... A.,"):
