@@ -24,8 +24,8 @@ DIMENSIONS = 1024
 SYMBOLS = 4096
 #: Trigram vectors that a worker remembers.
 REMEMBER = 60_000
-#: More languages than this are refused: prototypes are sent to every task.
-MOST_LANGUAGES = 2_000
+#: Languages whose prototypes are compared together; more are compared block by block, in the same pass.
+BLOCK_LANGUAGES = 2_000
 UNDETERMINED = "und"
 
 
@@ -94,7 +94,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimen
     """Unit prototypes by language, from all rows with a language and a text that has letters.
 
     Each task bundles its rows by language into exact integer sums; these are added by dimension in a partially
-    aggregated shuffle, so what reaches the driver is one vector a language.
+    aggregated shuffle, so what reaches the driver is one vector a language, one at a time.
     """
     import pyarrow as pa
 
@@ -131,9 +131,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimen
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
     sums = rows.mapInArrow(run, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))
     vectors = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("x"))
-    found = vectors.select("lang", F.col("x.v").alias("v")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = vectors.select("lang", F.col("x.v").alias("v")).toLocalIterator()
     out = {}
     for r in found:
         v = np.array(r["v"], dtype=np.float64)
@@ -146,28 +144,36 @@ def predict(
 ) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (the cosine, at least 0), from the text alone; map-only.
 
-    A null text, one without letters, or no prototypes give ``und`` and 0. Rows stay as they are; columns of these names
-    are replaced.
+    A null text, one without letters, or no prototypes give ``und`` and 0. Rows stay as they are, very long texts are read
+    whole, an empty table gives an empty one; columns of these names are replaced.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], dtype=np.float64)
+    blocks = []
+    for at in range(0, len(names), BLOCK_LANGUAGES):
+        part = names[at : at + BLOCK_LANGUAGES]
+        blocks.append((part, np.array([prototypes[n] for n in part], dtype=np.float64)))
 
     def make():
-        own = space(matrix.shape[1]) if names else None
+        own = space(blocks[0][1].shape[1]) if blocks else None
 
         def compute(texts: list[str | None]) -> tuple:
             lang, score = [], []
             for t in texts:
-                got = own.trigrams(t) if names else None
+                got = own.trigrams(t) if blocks else None
                 if not got:
                     lang.append(UNDETERMINED)
                     score.append(0.0)
                     continue
                 v = own.bundle(*got)
-                cosine = matrix @ v / (np.linalg.norm(v) or 1.0)
-                best = int(cosine.argmax())
-                lang.append(names[best])
-                score.append(min(1.0, max(0.0, float(cosine[best]))))
+                size = np.linalg.norm(v) or 1.0
+                best, most = UNDETERMINED, -np.inf
+                for part, matrix in blocks:  # names ascend, so an earlier one wins a tie
+                    cosine = matrix @ v / size
+                    k = int(cosine.argmax())
+                    if cosine[k] > most:
+                        best, most = part[k], float(cosine[k])
+                lang.append(best)
+                score.append(min(1.0, max(0.0, most)))
             return lang, score
 
         return compute

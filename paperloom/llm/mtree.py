@@ -6,7 +6,8 @@ d(q, x)^2 = |q|^2 + R^2 - 2 q.x. In that metric space an M-tree holds the rows o
 with its object, covering radius and distance to the parent's object, over leaf pages of objects with their distances to
 the parent. A search takes the page with the smallest possible distance first. On a page, entries whose stored parent
 distance and radius exclude them by the triangle inequality are passed over without computing a distance; the search ends
-when no page can hold a better score. Bounds carry a slack for rounding, scores are exact integers.
+when no page can hold a better score. Bounds carry a slack for rounding; scores are exact, in doubles where these hold every
+sum, else in whole numbers.
 
 Rows are dealt to blocks of a bounded size by a hash; a block's tree is one serialized row. Queries are a stated set, also
 in blocks, and each pair of a tree and a query block is one equi-joined row, so no task holds more than one of each. The
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 from paperloom.llm.common import materialize
 
 #: Rows of a tree, queries of a block, objects of a leaf page, entries of a routing page.
-BLOCK_ROWS, QUERY_ROWS, LEAF, FANOUT = 8192, 2048, 128, 16
+BLOCK_ROWS, QUERY_ROWS, LEAF, FANOUT = 16_384, 512, 2048, 8
 #: Integers up to this size in each partial sum are exact in doubles.
 EXACT = float(1 << 53)
 
@@ -44,10 +45,12 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pages: list[dict], reach: float):
         self.ids, self.vectors, self.pages, self.reach = ids, vectors, pages, reach
+        self.most = float(np.abs(vectors).max(initial=0.0))
+        self.large = self.most**2 * vectors.shape[1] >= EXACT
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray, seed: int = 5) -> MTree:
-        norms = np.einsum("ij,ij->i", vectors, vectors)
+        norms = np.einsum("ij,ij->i", vectors, vectors)  # for bounds alone, so as doubles
         reach = float(norms.max())
         lift = np.sqrt(np.maximum(reach - norms, 0.0))
         rng = np.random.default_rng(seed)
@@ -78,12 +81,19 @@ class MTree:
             return number
 
         page(np.arange(len(ids)), -1)
-        return cls(ids, vectors, pages, reach)
+        # The objects of a leaf stand together, in the order of pages.
+        order = np.concatenate([p["objects"] for p in pages if not len(p["below"])])
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        for p in pages:
+            p["objects"] = place[p["objects"]]
+        return cls(ids[order], vectors[order], pages, reach)
 
     def search(self, q: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id; candidates with the id ``own`` take no part."""
         base = float(q @ q) + self.reach
         slack = 1e-7 * (base + 1.0)
+        near = 1e-6 + 1e-7 * np.sqrt(base)  # what rounding may add to a distance
         best: list[tuple[float, int]] = []  # (score, -id), the worst first
 
         def within() -> float:
@@ -101,17 +111,18 @@ class MTree:
             leaf = not len(p["below"])
             if to_parent >= 0 and limit < np.inf:
                 gap = np.abs(to_parent - p["far"])
-                keep = np.flatnonzero(gap - (0.0 if leaf else radius) <= limit + 1e-6)
+                keep = np.flatnonzero(gap - (0.0 if leaf else radius) <= limit + near)
                 if not len(keep):
                     continue
             else:
                 keep = np.arange(len(objects))
-            rows = objects[keep]
-            scores = self.vectors[rows] @ q
             if leaf:
-                if len(best) == k:
-                    rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist()):
+                rows, scores = self._scores(objects, keep, q)
+                enough = best[0][0] if len(best) == k else -np.inf
+                if len(scores) > 4 * k and scores.dtype != object:  # the page's best, with their ties; one may be the query's own
+                    enough = max(enough, np.partition(scores, -4 * k)[-4 * k])
+                high = np.flatnonzero(scores >= enough)
+                for s, i in zip(scores[high].tolist(), self.ids[rows[high]].tolist()):
                     if i == own:
                         continue
                     if len(best) < k:
@@ -119,13 +130,25 @@ class MTree:
                     elif (s, -i) > best[0]:
                         heapq.heapreplace(best, (s, -i))
             else:
-                d = np.sqrt(np.maximum(base - 2 * scores, 0.0))
-                least_here = np.maximum(d - radius[keep] - 1e-6, 0.0)
+                d = np.sqrt(np.maximum(base - 2 * (self.vectors[objects[keep]] @ q), 0.0))
+                least_here = np.maximum(d - radius[keep] - near, 0.0)
                 for x, n, to in zip(least_here.tolist(), p["below"][keep].tolist(), d.tolist()):
                     if x <= limit:
                         heapq.heappush(agenda, (x, n, to))
         return sorted(((int(s), -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
+    def _scores(self, objects: np.ndarray, keep: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, exact scores) of a leaf's objects: sums that doubles hold exactly, else whole numbers of any size."""
+        if len(keep) == len(objects):
+            rows, page = objects, self.vectors[objects[0] : objects[0] + len(objects)]
+        else:
+            rows = objects[keep]
+            page = self.vectors[rows]
+        if self.large or float(np.abs(q).max()) * self.most * len(q) >= EXACT:
+            page, q = ([[int(x) for x in row] for row in m] for m in (page, q[None, :]))
+            return rows, np.array([sum(map(int.__mul__, row, q[0])) for row in page], dtype=object)
+        return rows, page @ q
+
     def to_bytes(self) -> bytes:
         """Objects and pages, one after the other."""
         out = io.BytesIO()
@@ -151,8 +174,6 @@ class MTree:
 def _rows(pdf) -> tuple[np.ndarray, np.ndarray]:
     ids = pdf["id"].to_numpy(np.int64)
     vectors = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-    if np.abs(vectors).max(initial=0.0) ** 2 * vectors.shape[1] * 4 >= EXACT:
-        raise ValueError("components are too large for exact scores")
     order = np.argsort(ids, kind="stable")
     return ids[order], vectors[order]
 
@@ -177,7 +198,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query over all rows but its own.
 
     Ties go to the smaller id. Rows and queries whose id or vector is null, or whose vector is empty or holds null or
-    non-finite components, take no part; vectors of different lengths never meet. A query excludes the rows that have its
+    non-finite components, take no part; components of any finite size count, if the scores that are returned fit a long; vectors of different lengths never meet. A query excludes the rows that have its
     id. Repeated candidate rows each count; a repeated query row counts once. No queries, or no rows, give no result.
     """
 

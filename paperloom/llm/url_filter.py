@@ -3,7 +3,8 @@
 Rules name a host, which fits itself and its subdomains, and the start of a path; the longest fitting rule decides. The
 trees judge the other URLs. They are trained on URLs that the rules label (allow 0, block 1), from features of the URL
 alone: lengths, depth, digit ratio, character entropy, number of parameters, and smoothed block rates of its suffixes (the
-host's last one and two labels, its first path segment), which are counted over all labelled URLs.
+host's last one and two labels, its first path segment), which are counted over all labelled URLs. A training URL's rates
+are out of fold: counted over the labelled URLs of the other folds, so that its own label is no part of them.
 
 Everything is DataFrame expressions and the DataFrame API of Spark's tree ensembles; no Python runs on the executors.
 """
@@ -28,6 +29,8 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 11
 #: A suffix's block rate counts this many labelled URLs of the average rate besides its own.
 SMOOTHING = 20.0
+#: Labelled URLs are dealt to so many folds by a hash.
+FOLDS = 5
 #: Suffixes with fewer labelled URLs than this keep the average rate.
 LEAST_SUFFIX = 5
 FEATURES = (
@@ -90,9 +93,15 @@ def lexical(df: DataFrame) -> DataFrame:
 
 
 def _rates(labelled: DataFrame, column: str, mean: float) -> DataFrame:
-    """(suffix, rate) for suffixes with enough labelled URLs; a table that Spark may broadcast if it is small."""
-    rates = labelled.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).where(f"n >= {LEAST_SUFFIX}")
-    rates = rates.select(F.col(column).alias(f"key_{column}"), ((F.col("bad") + SMOOTHING * mean) / (F.col("n") + SMOOTHING)).alias("rate"))
+    """(suffix, rate, rates by fold left out) for suffixes with enough labelled URLs; Spark may broadcast it if it is small."""
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")]
+    for k in range(FOLDS):
+        inside = F.col("fold") == k
+        sums += [F.count(F.when(inside, 1)).alias(f"n{k}"), F.coalesce(F.sum(F.when(inside, F.col("label"))), F.lit(0.0)).alias(f"bad{k}")]
+    counted = labelled.groupBy(column).agg(*sums).where(f"n >= {LEAST_SUFFIX}")
+    smooth = lambda bad, n: (bad + SMOOTHING * mean) / (n + SMOOTHING)
+    without_fold = F.array(*[smooth(F.col("bad") - F.col(f"bad{k}"), F.col("n") - F.col(f"n{k}")) for k in range(FOLDS)])
+    rates = counted.select(F.col(column).alias(f"key_{column}"), smooth(F.col("bad"), F.col("n")).alias("rate"), without_fold.alias("out_of_fold"))
     return materialize(rates, f"rates-{column}")
 
 
@@ -100,7 +109,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, keep: list[str] |
     """Add host, path, rule, verdict and ``block_probability`` (null where a rule decides) to each row.
 
     A null URL, or one without ``://``, has an empty host and path and is judged by the trees, whose features then describe
-    an empty URL. Without labelled URLs of both verdicts the trees can't be trained, and what no rule fits is allowed.
+    an empty URL; a very long one is judged whole. Without labelled URLs of both verdicts the trees can't be trained, and what no rule fits is allowed.
     Rows stay as they are; columns of the new names are replaced; an empty table gives an empty one.
     """
     from pyspark.ml.classification import GBTClassifier
@@ -120,6 +129,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, keep: list[str] |
         return df.select(*[F.col(h).alias(c) for h, c in zip(here, carried)], *added)
 
     labelled = lexical(frame.where("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double")))
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS)).cast("int"))
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")).first()
     if not 0 < total["bad"] < total["n"]:
         return named(
@@ -128,18 +138,20 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, keep: list[str] |
     mean = total["bad"] / total["n"]
     rates = {c: _rates(labelled, c, mean) for c in ("suffix1", "suffix2", "segment")}
 
-    def with_rates(df: DataFrame) -> DataFrame:
+    def with_rates(df: DataFrame, training: bool = False) -> DataFrame:
         for (column, table), name in zip(rates.items(), ("f_rate1", "f_rate2", "f_rate_segment")):
-            df = df.join(table.withColumnRenamed("rate", name), F.col(column) == F.col(f"key_{column}"), "left")
-            df = df.withColumn(name, F.coalesce(name, F.lit(mean))).drop(f"key_{column}")
+            df = df.join(table, F.col(column) == F.col(f"key_{column}"), "left")
+            rate = F.get("out_of_fold", F.col("fold")) if training else F.col("rate")
+            df = df.withColumn(name, F.coalesce(rate, F.lit(mean))).drop(f"key_{column}", "rate", "out_of_fold")
         return df
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     # A threshold on the hash lets about twice as many rows pass as are wanted, of any number.
     span = 1 << 30
     share = min(span, 2 * TRAIN_ROWS * span // total["n"] + 1)
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(span)) < share).orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS)
-    sample = materialize(assembler.transform(with_rates(sample)).select("features", "label"), "labelled-urls")
+    few = labelled.where(F.pmod(F.xxhash64("url"), F.lit(span)) < share).dropDuplicates(["url"])  # copies of a URL count once
+    few = few.orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS)
+    sample = materialize(assembler.transform(with_rates(few, True)).select("features", "label"), "labelled-urls")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(sample)
     open_ = with_rates(lexical(frame.where("by_rule is null")))
     scored = trees.transform(assembler.transform(open_)).withColumn("block_probability", vector_to_array("probability")[1])

@@ -6,7 +6,8 @@ title, language, character set and links), and a ``conversion`` record (text/pla
 are name-based UUIDs, so equal responses give equal records and reruns agree. Digests are ``sha1:`` in Base32.
 
 Text: tags, comments, and the content of script, style, template, noscript and title go; block elements and ``br`` end a
-line; character references are resolved; white space within a line becomes one blank and empty lines go.
+line; character references are resolved; white space within a line becomes one blank and empty lines go. Chunked and
+compressed (gzip, deflate) bodies are undone first; a body that isn't what its headers say is taken as it stands.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import without
+from paperloom.llm.common import slices, without
 
 #: The date of records made from tables, which have none.
 DATE = "2024-01-01T00:00:00Z"
@@ -118,20 +120,85 @@ def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].partition(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def decoded_body(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """A body without its transfer and content encodings, the last applied first."""
+    named = lambda name: [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",")]
+    for coding in reversed(named("content-encoding") + named("transfer-encoding")):
+        try:
+            if coding == "chunked":
+                body = _dechunked(body)
+            elif coding in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif coding == "deflate":
+                body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+        except (ValueError, OSError, EOFError, zlib.error):
+            break
+    return body
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The plain bytes of a file: as it is, or gzip member after member, a piece at a time; a broken member ends it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest = memoryview(data)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(rest), 1 << 16):
+                if piece := member.decompress(rest[at : at + (1 << 16)]):
+                    yield piece
+                if member.eof:
+                    break
+        except zlib.error:
+            return
+        if not member.eof:
+            return
+        rest = rest[min(at + (1 << 16), len(rest)) - len(member.unused_data) :]
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of a WARC file, gzipped (by member) or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"not a WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    """(headers by lower-case name, block) of each record of a WARC file, gzipped (by member) or not, one at a time.
+
+    Bytes that are no record give one with the header ``error`` and are passed over up to the next ``WARC/`` on a line of
+    its own; a record that the file's end cuts off gives one too.
+    """
+    pieces, held, ended = _inflated(data), bytearray(), False
+
+    def fill(n: int) -> bool:
+        nonlocal ended
+        while len(held) < n and not ended:
+            piece = next(pieces, None)
+            ended = piece is None
+            held.extend(piece or b"")
+        return len(held) >= n
+
+    while fill(1):
+        while (end := held.find(b"\r\n\r\n")) < 0 and fill(len(held) + 1):
+            pass
+        lines = bytes(held[: max(end, 0)]).decode("utf-8", "replace").split("\r\n")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        size = headers.get("content-length", "")
+        if lines[0].startswith("WARC/") and size.isdigit() and fill(end + 4 + int(size)):
+            yield headers, bytes(held[end + 4 : end + 4 + int(size)])
+            fill(end + 8 + int(size))
+            del held[: end + 8 + int(size)]
+            continue
+        yield {"error": f"not a whole WARC record: {lines[0][:80]!r}"}, b""
+        while (next_ := held.find(b"\nWARC/", 1)) < 0 and fill(len(held) + 1):
+            pass
+        del held[: next_ + 1 if next_ >= 0 else len(held)]
 
 
 def _line(value: object) -> str:
@@ -141,6 +208,7 @@ def _line(value: object) -> str:
 def derive(source_id: str, uri: str | None, date: str, block: bytes, payload_digest: str, block_digest: str) -> list[dict]:
     """The metadata and the conversion record of one response."""
     status, http, body = split_http(block)
+    body = decoded_body(http, body)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = re.search(r"charset=[\"']?([\w.:-]+)", kind)
     try:
@@ -189,10 +257,13 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None, with_record
 
     Columns in ``keep`` (default: none) are carried, unless a new column has their name. A null block counts as empty, a
     null record id is made from the URI and the block, a null URI gives records without one. Repeated responses give
-    repeated records. ``with_record`` adds the whole record's bytes. Map-only.
+    repeated records; an empty table gives none; very long pages are taken whole, a few rows at a time. ``with_record``
+    adds the whole record's bytes. Map-only.
     """
     import pyarrow as pa
 
+    if "error" in responses.columns:  # of read_responses: no records
+        responses = responses.where("error is null")
     names = [*NAMES, *(["record"] if with_record else [])]
     carried = without(responses.select(*[F.col(f"`{c}`") for c in keep or []]), names).columns
     have = responses.columns
@@ -206,8 +277,7 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None, with_record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole):
                 made: list[dict] = []
                 for k in range(batch.num_rows):
                     source, uri, date, block, payload, own = (batch.column(f"__r{i}")[k].as_py() for i in range(6))
@@ -239,21 +309,29 @@ def page_responses(pages: DataFrame) -> DataFrame:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files (.warc or .warc.gz) under a path, as ``derivatives`` takes them."""
+    """The response records of WARC files (.warc or .warc.gz) under a path, as ``derivatives`` takes them, and ``error``.
+
+    A file is one row of at most 2 GB, inflated record by record; what is no record gives a row with its ``error`` alone.
+    """
     import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
-                rows = [
-                    (h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), b, h.get("warc-payload-digest"), h.get("warc-block-digest"))
-                    for h, b in records(content)
-                    if h.get("warc-type") == "response"
-                ]
-                yield pd.DataFrame(rows, columns=["record_id", "target_uri", "warc_date", "block", "payload_digest", "block_digest"])
-
+                rows = []
+                for h, block in records(content):
+                    if "error" in h or h.get("warc-type") == "response":
+                        rows.append((*[h.get(n) for n in names], None if "error" in h else block, h.get("error")))
+                    if len(rows) >= 200:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns)
+
+    names = ["warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-block-digest"]
+    columns = ["record_id", "target_uri", "warc_date", "payload_digest", "block_digest", "block", "error"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("content")
-    return files.mapInPandas(run, "record_id string, target_uri string, warc_date string, block binary, payload_digest string, block_digest string")
+    schema = ", ".join(f"{c} {'binary' if c == 'block' else 'string'}" for c in columns)
+    return files.mapInPandas(run, schema)
 
 
 def write_warc(derived: DataFrame, folder: str) -> DataFrame:

@@ -359,3 +359,14 @@ def test_language_id(spark, odd_docs):
 def test_no_languages(spark, odd_docs):
     out = language_id.query(odd_docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in out.collect()} == {"und"}
+
+
+def test_languages_in_blocks(spark, odd_docs, clashing, monkeypatch):
+    protos = {f"l{k}": list(np.random.default_rng(k).normal(size=language_id.DIMENSIONS)) for k in range(7)} | {"l0copy": None}
+    protos["l0copy"] = protos["l0"]
+    one = [tuple(r) for r in language_id.predict(odd_docs, protos, keep=["doc_id"]).collect()]
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 2)
+    again = [tuple(r) for r in language_id.predict(odd_docs, protos, keep=["doc_id"]).collect()]
+    assert [r[:2] for r in again] == [r[:2] for r in one] and [r[2] for r in again] == pytest.approx([r[2] for r in one])
+    out = language_id.predict(clashing, protos)
+    assert out.columns.count("lang_pred") == 1 and [r["lang_pred"] for r in out.collect()] == [r[1] for r in one]
