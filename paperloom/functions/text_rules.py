@@ -132,7 +132,7 @@ def contains_verb(c: Column) -> Column:
 
 
 def contains_english_word(c: Column) -> Column:
-    common = sorted({*lx.ALWAYS_VERBS, *lx.base_verbs(), *lx.DETERMINERS, *lx.PREPOSITIONS, *lx.SUBJECTS, *lx.COMMON_NOUNS})
+    common = sorted({*lx.ALWAYS_VERBS, *lx.base_verbs(), *lx.DETERMINERS, *lx.PREPOSITIONS, *lx.SUBJECTS, *lx.COMMON_WORDS})
     words = F.transform(word_tokenize(F.lower(c)), lambda t: F.regexp_replace(t, "[^a-z]", ""))
     return F.exists(words, lambda w: (F.length(w) > 1) & w.isin(common))
 
