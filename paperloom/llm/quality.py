@@ -82,10 +82,11 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
                (j + 1 < __n and shiftright(get(__s, j + 1), __b) = shiftright(x, __b))),
              x -> cast(x & (shiftleft(1L, __b) - 1L) as int)) as __p""",
     )
-    five = four.selectExpr("*", "array_sort(transform(__p, p -> struct(concat_ws(' ', __w[p], __w[p + 1], __w[p + 2]) as s, p as p))) as __r")
+    five = four.selectExpr("*", "sort_array(transform(__p, p -> struct(__w[p] as a, __w[p + 1] as b, __w[p + 2] as c, p as p))) as __r")
+    same = "get(__r, {0}).a = x.a and get(__r, {0}).b = x.b and get(__r, {0}).c = x.c"
     six = five.selectExpr(
         "*",
-        """transform(filter(__r, (x, j) -> (j > 0 and __r[j - 1].s = x.s) or (j + 1 < size(__r) and get(__r, j + 1).s = x.s)),
+        f"""transform(filter(__r, (x, j) -> (j > 0 and {same.format("j - 1")}) or (j + 1 < size(__r) and {same.format("j + 1")})),
              x -> x.p) as __q""",
     )
     return six.selectExpr(
@@ -119,8 +120,8 @@ PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
 def _exact(c: Column) -> Column:
-    """A value in units of 2^-20 as a decimal, whose sums don't depend on the order of rows."""
-    return F.round(c * float(1 << 20)).cast("decimal(20,0)")
+    """A value in units of 2^-20, whole, so that sums don't depend on the order of rows: the nearest rows' values are small."""
+    return F.round(c * float(1 << 20)).cast("long")
 
 
 def _moments(rows: DataFrame, by: tuple[str, ...] = ("g",)) -> DataFrame:

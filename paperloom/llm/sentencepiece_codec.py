@@ -29,12 +29,12 @@ from paperloom.llm.common import append_columns
 
 SPACE = "▁"
 #: So many runs are remembered at most; then the table starts anew.
-REMEMBER_RUNS = 250_000
+REMEMBER_RUNS = 200_000
 #: Runs up to this length share matrices of so many rows; longer ones are merged with a heap.
 MATRIX_CHARS, MATRIX_ROWS = 48, 32_768
 NO_PAIR = np.iinfo(np.int32).max
 #: Texts are processed in groups of about so many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
