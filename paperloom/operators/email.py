@@ -72,7 +72,7 @@ def parse_email(data: bytes, o: Options, name: str | None, depth: int = 0) -> li
         out = parse_document(body.encode("utf-8", "surrogatepass"), None, replace(inner, content_type=kind, encoding="utf-8"))
         for e in out:
             e["metadata"] |= facts
-    if not o.process_attachments or depth >= o.attachment_depth:
+    if not o.process_attachments or (o.attachment_depth is not None and depth >= o.attachment_depth):
         return out
     mail = o.metadata_filename or name
     for part in message.iter_attachments():

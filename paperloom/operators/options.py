@@ -59,7 +59,8 @@ class Options:
     delimiter: str | None = None
     content_source: str = "text/html"
     process_attachments: bool = True
-    attachment_depth: int = 3
+    #: Levels of attachments within attachments that are read; None: all.
+    attachment_depth: int | None = None
     paragraph_grouper: object = None
     password: str | None = None
     pdfminer_line_margin: float = 0.5

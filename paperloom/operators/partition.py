@@ -29,7 +29,7 @@ from paperloom.operators.pdf import parse_pdf
 from paperloom.operators.pptx import parse_pptx
 from paperloom.operators.schema import CHUNK_TYPE, element, row
 from paperloom.operators.xlsx import parse_xlsx
-from paperloom.sources.decode import FILETYPE, decode_bytes, decode_html, detect_filetype
+from paperloom.sources.decode import FILETYPE, charset_of, decode_bytes, decode_html, detect_filetype
 
 
 def exactly_one(**given) -> None:
@@ -62,11 +62,11 @@ def raw_elements(data: bytes, kind: str, o: Options, name: str | None, depth: in
         delimiter = "\t" if kind == "tsv" else o.delimiter
         return parse_delimited(data, o.encoding, delimiter, o.infer_table_structure, o.limits.csv_field)
     if kind == "html":
-        return html_elements(decode_html(data, o.encoding), o)
+        return html_elements(decode_html(data, o.encoding, charset_of(o.content_type)), o)
     if kind == "md":
-        return html_elements(markdown_to_html(decode_bytes(data, o.encoding)[1]), o)
+        return html_elements(markdown_to_html(decode_bytes(data, o.encoding, sent=charset_of(o.content_type))[1]), o)
     if kind == "txt":
-        return text_elements(decode_bytes(data, o.encoding)[1], o)
+        return text_elements(decode_bytes(data, o.encoding, sent=charset_of(o.content_type))[1], o)
     if kind == "json":
         return json_elements(decode_bytes(data, o.encoding)[1], o)
     if kind == "eml":

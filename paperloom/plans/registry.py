@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import cleaners, lexicon, tables, text_rules
+from paperloom.plans import formats
 from paperloom.operators import chunking, relational, staging
 from paperloom.operators import partition as parts
 
@@ -331,6 +332,7 @@ def queries() -> dict[str, Query]:
         "elements_to_text": elements_to_text,
         "elements_to_json": elements_to_json,
         "filter_types": filter_types,
+        **formats.queries(),
     }
 
 
@@ -345,4 +347,5 @@ def oracle_sql() -> dict[str, str]:
         "hierarchy": HIERARCHY_SQL,
         "partition_csv": PARTITION_CSV_SQL,
         "table_rendering": PARTITION_CSV_SQL.replace("'Table' AS type, ", ""),
+        **formats.oracle_sql(),
     }
