@@ -167,6 +167,7 @@ def picked(frame: DataFrame, marks: DataFrame, names: Sequence[str], keep: Calla
                 if len(hit):
                     rows = pa.array(np.repeat(hit, copies[k[hit]]))
                     yield pa.RecordBatch.from_arrays([own.column(i).take(rows) for i in range(len(names))], names=list(names))
+        give_back()
 
     own = frame.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], FILE, PLACE)
     keep(written)
@@ -186,6 +187,20 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system, since its worker process stays for later tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch) -> Iterator:
     """Parts of an Arrow batch, in order, of SLICE_ROWS rows at most and of about SLICE_BYTES, but one row at least."""
     rows = max(1, min(SLICE_ROWS, SLICE_ROWS if not batch.num_rows else SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
@@ -230,5 +245,7 @@ def append_columns(
                 out = compute(*[batch.column(at[c]).to_pylist() for c in inputs])
                 arrays = [batch.column(c) for c in carried] + [pa.array(v, type=k) for v, k in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
+        del compute
+        give_back()
 
     return frame.mapInArrow(run, schema)
