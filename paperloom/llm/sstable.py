@@ -46,7 +46,7 @@ BLOCK_BYTES, RESTART = 64 * 1024, 16
 SHARD_BYTES = 8 * 1024 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Distinct pieces of text that a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 1_000_000
 
 
 def _varint(n: int) -> bytes:
@@ -225,7 +225,7 @@ class WordIds:
     """
 
     #: Of so many new words, one is encoded again as it stands.
-    CHECK_EVERY = 64
+    CHECK_EVERY = 256
 
     def __init__(self, path: str):
         import json
