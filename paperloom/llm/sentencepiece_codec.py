@@ -31,10 +31,10 @@ SPACE = "▁"
 #: So many runs are remembered at most; then the table starts anew.
 REMEMBER_RUNS = 120_000
 #: Runs up to this length share matrices of so many rows; longer ones are merged with a heap.
-MATRIX_CHARS, MATRIX_ROWS = 48, 32_768
+MATRIX_CHARS, MATRIX_ROWS = 48, 4_096
 NO_PAIR = np.iinfo(np.int32).max
 #: Texts are processed in groups of about so many characters.
-GROUP_CHARS = 500_000
+GROUP_CHARS = 200_000
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
