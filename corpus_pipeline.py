@@ -30,15 +30,26 @@ from paperloom.llm import mixture, near_dedup, quality, secret_scan, sentencepie
 from paperloom.llm.common import delete, held, materialize, table
 from paperloom.llm.registry import tokenizer_path
 
+#: Rows of an Arrow batch, at most: what a worker holds at a time follows it.
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Scratch tables that the last stage's result reads.
 _READ: list[str] = []
 
 
 def _stage(made):
-    """``made``, after what earlier stages left is deleted, unless ``docs`` still reads it."""
+    """``made``, after what earlier stages left is deleted, unless ``docs`` still reads it.
+
+    The session's Arrow batches become smaller where they are larger than BATCH_ROWS; they stay so, as a stage's work is
+    done when its result is written.
+    """
 
     @wraps(made)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get(ARROW_ROWS))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
         used = docs.inputFiles()
         needed = [p for p in _READ if any(f"/{p.rpartition('/')[2]}/" in u for u in used)]
         delete(spark, [p for p in _READ if p not in needed])
