@@ -21,6 +21,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Customers dealt out to tasks: the table is one small file, which few tasks read, but each row is a document to parse."""
+    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(n, "c_custkey")
+
+
 def elements_of(docs: DataFrame) -> DataFrame:
     """c_custkey, pos, type and text of the elements of (c_custkey, content, content_type)."""
     found = parts.partition(docs, mode="FAILFAST").drop("content", "content_type", "error")
@@ -31,7 +37,7 @@ def written(kind: str, body: Callable[[], Column], more: tuple[str, ...] = ()) -
     """A query over documents whose text is a column expression; ``more`` names metadata to return too."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = customers(spark, sf_dir).select("c_custkey", F.encode(body(), "UTF-8").alias("content"), F.lit(kind).alias("content_type"))
+        docs = dealt(customers(spark, sf_dir)).select("c_custkey", F.encode(body(), "UTF-8").alias("content"), F.lit(kind).alias("content_type"))
         return elements_of(docs).select("c_custkey", "pos", "type", "text", *[F.col(f"metadata.{m}").alias(m) for m in more])
 
     return run
@@ -65,7 +71,7 @@ def office(parts_of: Callable[[str, str], dict[str, str]], kind: str) -> Query:
                     made.append(out.getvalue())
                 yield pd.DataFrame({"c_custkey": pdf["c_custkey"], "content": made, "content_type": FILETYPE[kind]})
 
-        docs = customers(spark, sf_dir).mapInPandas(pack, "c_custkey long, content binary, content_type string")
+        docs = dealt(customers(spark, sf_dir)).mapInPandas(pack, "c_custkey long, content binary, content_type string")
         return elements_of(docs).drop("metadata")
 
     return run
@@ -124,7 +130,7 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.length(line).cast("string"), F.lit(">>stream\n"), line, F.lit("\nendstream endobj\ntrailer<</Root 1 0 R>>\n%%EOF\n"),
     )
-    docs = customers(spark, sf_dir).select("c_custkey", F.encode(body, "UTF-8").alias("content"), F.lit("application/pdf").alias("content_type"))
+    docs = dealt(customers(spark, sf_dir)).select("c_custkey", F.encode(body, "UTF-8").alias("content"), F.lit("application/pdf").alias("content_type"))
     return elements_of(docs).drop("metadata")
 
 

@@ -65,3 +65,33 @@ def test_streams_keep_failures(spark, tmp_path):
     rows = {r["path"][-5:]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert not rows["a.txt"]["failed"] and len(rows["a.txt"]["elements"]) == 1
     assert rows[".docx"]["failed"] and rows[".docx"]["error"]
+
+
+@pytest.mark.parametrize("name", ["partition_email", "partition_pdf", "partition_docx"])
+def test_rows_of_one_file_are_dealt_out(spark, name):
+    assert formats.customers(spark, TABLES).rdd.getNumPartitions() == 1
+    rows = formats.queries()[name](spark, TABLES).select("c_custkey").rdd.glom().map(len).collect()
+    assert sum(map(bool, rows)) >= spark.sparkContext.defaultParallelism
+
+
+def test_headers_are_parsed_once(monkeypatch):
+    from email import policy
+    from email.headerregistry import HeaderRegistry
+    from email.parser import BytesParser
+
+    from paperloom.operators import email
+
+    seen = []
+    plain_call = HeaderRegistry.__call__
+    monkeypatch.setattr(HeaderRegistry, "__call__", lambda self, name, value: seen.append((name, value)) or plain_call(self, name, value))
+    email.Remembering._parsed.cache_clear()
+    mail = b'From: "A, B" <a@x.test>\r\nfrom: c@x.test\r\nSubject: =?utf-8?q?K=C3=A4ufer?=\r\n =?utf-8?q?_am_Kai?=\r\nTo: \xe4 <d@x.test>,\r\n e@x.test\r\n'
+    mail += b"X-Long: " + b"w " * 2000 + b"\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nIt was here.\r\n"
+    for k in range(3):
+        found = parse_document(mail, f"{k}.eml", make_options())
+        assert [e["text"] for e in found] == ["It was here."]
+        assert len(seen) == len(set(seen)) and len(seen) < 20
+    assert found[0]["metadata"]["subject"] == "Käufer am Kai"
+    one, other = email.PARSER.parsebytes(mail), BytesParser(policy=policy.default).parsebytes(mail)
+    assert [(k, str(v), type(v).__mro__[1:3]) for k, v in one.items()] == [(k, str(v), type(v).__mro__[1:3]) for k, v in other.items()]
+    assert email.addresses(one, "From") == email.addresses(other, "From") and len(email.addresses(one, "From")) == 2
