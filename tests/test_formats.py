@@ -95,3 +95,32 @@ def test_headers_are_parsed_once(monkeypatch):
     one, other = email.PARSER.parsebytes(mail), BytesParser(policy=policy.default).parsebytes(mail)
     assert [(k, str(v), type(v).__mro__[1:3]) for k, v in one.items()] == [(k, str(v), type(v).__mro__[1:3]) for k, v in other.items()]
     assert email.addresses(one, "From") == email.addresses(other, "From") and len(email.addresses(one, "From")) == 2
+
+
+def test_pdf_objects_are_read_once(monkeypatch):
+    from collections import Counter
+
+    from paperloom.operators import pdf
+
+    def packed(number, inner, length):
+        head = b"6 0 7 %d " % (len(inner) - 3)
+        return b"%d 0 obj<</Type/ObjStm/N 2/First %d/Length %s>>stream\n" % (number, len(head), length) + head + inner + b"\nendstream endobj\n"
+
+    line = b"BT /F 12 Tf 72 400 Td (* It was here) Tj /G 12 Tf 0 -40 Td (* It was there) Tj ET"
+    page = b"%d 0 obj<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Resources<</Font<</F 5 0 R/G 6 0 R>>>>/Contents 4 0 R>>endobj\n"
+    font = b"<</Type/Font/Subtype/Type1/BaseFont/A/FirstChar 42/Widths[7 0 R]>> %d"
+    data = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[10 0 R 11 0 R 12 0 R]/Count 3>>endobj\n"
+    data += b"5 0 obj<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>endobj\n4 0 obj<</Length %d>>stream\n" % len(line) + line + b"\nendstream endobj\n"
+    # The second stream of objects has a length that the first one holds, and another value for it, which counts from then on.
+    data += packed(30, font % 333, b"500") + packed(31, font % 999, b"7 0 R") + b"".join(page % n for n in (10, 11, 12)) + b"trailer<</Root 1 0 R>>\n%%EOF\n"
+    seen, fonts = Counter(), []
+    read, made = pdf.read_object, pdf.Font.__init__
+    monkeypatch.setattr(pdf, "read_object", lambda data, at: seen.update([(data, at)]) or read(data, at))
+    monkeypatch.setattr(pdf.Font, "__init__", lambda self, reader, facts: fonts.append(self) or made(self, reader, facts))
+    pages = pdf.own_pages(data, 1 << 20)
+    texts = [[b.text for b in load()[2]] for load in pages]
+    assert texts == [["* It was here", "* It was there"]] * 3
+    assert max(seen.values()) == 1 and len(fonts) == 2 and fonts[1].widths == {42: 999}
+    monkeypatch.setattr(pdf.Reader, "REMEMBER", 1)
+    monkeypatch.setattr(pdf.Reader, "FONTS", 1)
+    assert [[b.text for b in load()[2]] for load in pdf.own_pages(data, 1 << 20)] == texts
