@@ -27,8 +27,9 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
+from string import punctuation
 from unicodedata import normalize
 from zlib import crc32
 
@@ -218,14 +219,20 @@ class WordIds:
 
     Text between blanks or line feeds is encoded alone if the tokenizer's own file says that this changes nothing: its
     normalizer composes (NFC), makes white space one blank and lower-cases, and its pre-tokenizer drops what is between words. With
-    any other rules every text is encoded whole. A period or comma behind letters stands for itself, where the word is all
-    letters once normalized; ASCII capitals are the same as small letters. Words that this doesn't lead back to known ones
-    are encoded together; a token that ends a word ends its ids. Of the words that a batch brings, some (and all others than ASCII
-    before a period or comma) are encoded a second time as they stand, and the task fails if that differs.
+    any other rules every text is encoded whole. Words are bytes of UTF-8. ASCII capitals become small letters first, but for words
+    that may hold a special token, or a mark that a small letter may be composed with and its capital not. ASCII marks behind
+    letters stand for themselves, where the word is all letters once normalized. Words that this doesn't lead back to known ones
+    are encoded together; a token that ends a word ends its ids. Of the words that a batch brings, some (and those with marks behind
+    them that have a letter not met so) are encoded a second time, as one of the batch's texts is as it stands, and the task fails
+    if that differs.
     """
 
     #: Of so many new words, one is encoded again as it stands.
     CHECK_EVERY = 256
+    #: A text that is encoded again has so many bytes at most.
+    CHECK_BYTES = 20_000
+    #: First bytes of U+0300 to U+037F in UTF-8, which has all marks that are composed with ASCII letters.
+    COMPOSED = (b"\xcc", b"\xcd")
 
     def __init__(self, path: str):
         import json
@@ -237,13 +244,16 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         rules = json.loads(self.library.to_str())
         self.by_word = self._splits(rules)
-        self.marks = {t["content"][0] for t in rules["added_tokens"]}  # a piece that may hold a special token has one of these
+        marks = {t["content"][:1] for t in rules["added_tokens"]}  # a piece that may hold a special token has one of these
+        self.as_it_stands = (*(m.encode() for m in marks), *self.COMPOSED)
+        self.behind = "".join(sorted(set(punctuation).difference(marks))).encode()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(tokens.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.tried: set[str] = set()
 
     @staticmethod
     def _splits(rules: dict) -> bool:
@@ -256,72 +266,94 @@ class WordIds:
             and steps[1] == blank
             and cut.get("type") == "Split"
             and (cut.get("behavior"), cut.get("invert")) == ("Removed", True)
-            and r"[\p{L}]+" in cut["pattern"].get("Regex", "")
+            and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(cut["pattern"].get("Regex", "").split("|"))
             and rules["model"]["type"] == "BPE"
             and rules["model"]["end_of_word_suffix"] == "</w>"
-            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
+            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["content"][:1] not in punctuation for t in rules["added_tokens"])
         )
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _encode(self, pieces: list[str]) -> None:
-        out = self.library.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
-        self.known.update(zip(pieces, (self.pack(e.ids) for e in out)))
+    def _said(self, pieces: list[bytes]) -> list[bytes]:
+        """What the library says of pieces."""
+        given = [p.decode() for p in pieces]
+        return [self.pack(e.ids) for e in self.library.encode_batch_fast(given, add_special_tokens=False)] if given else []
 
     @staticmethod
-    def _letters(word: str) -> bool:
+    def _letters(word: bytes) -> bool:
         """Whether a word is all letters, also as the tokenizer sees it: composed and in lower case."""
-        return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
-
-    def _learn(self, pieces: set[str]) -> None:
-        known = self.known
-        odd = [p for p in pieces if any(c in p for c in self.marks)]
-        self._encode(odd)
-        plain = pieces.difference(odd)
-        lower = {
-            p: p.lower() if p.isascii() else p.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for p in plain
-        }
-        # A word with a period or comma behind it: (word, what follows).
-        ends: dict[str, tuple[str, str]] = {}
-        need = set()
-        for low in set(lower.values()).difference(known):
-            if low[-1:] in (".", ",") and self._letters(head := low.rstrip(".,")):
-                ends[low] = head, low[len(head) :]
-                need.update(ends[low])
-            else:
-                need.add(low)
-        rest = need.difference(known)
-        words = [p for p in rest if self._letters(p)]
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode()
+        return text.isalpha() and normalize("NFC", text).lower().isalpha()
+
+    def _unknown(self, words: Iterable[bytes]) -> list[bytes]:
+        """Words that aren't known; those that were, before, are known again."""
+        known, before = self.known, self.before
+        fresh = list(filterfalse(known.__contains__, words))  # not by sets' methods, which would go through all that is known
+        known.update((w, before[w]) for w in filter(before.__contains__, fresh))
+        return list(filterfalse(before.__contains__, fresh))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        known, behind, letters = self.known, self.behind, self._letters
+        # Words with marks behind them: (word, letters, marks).
+        ends: list[tuple[bytes, bytes, bytes]] = []
+        words, rest = set(), set()
+        for w in fresh:
+            head = w.rstrip(behind)
+            if not letters(head):
+                rest.add(w)
+                continue
+            words.add(head)
+            if len(head) < len(w):
+                ends.append((w, head, w[len(head) :]))
+        rest.update(tail for _, _, tail in ends)
+        words, rest = self._unknown(words), self._unknown(rest)
+        known.update(zip(rest, self._said(rest)))
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            whole = b" ".join(part).decode()
+            ids = np.array(self.library.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype=np.int64)
             ends_here = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends_here) != len(part):  # a word that isn't cut off by its last token
-                self._encode(part)
+                known.update(zip(part, self._said(part)))
                 continue
-            whole, cut = self.pack(ids.tolist()), [0, *(self.width * ends_here).tolist()]
-            known.update(zip(part, (whole[a:b] for a, b in zip(cut, cut[1:]))))
-        self._encode(list(rest.difference(words)))
-        known.update((low, known[head] + known[tail]) for low, (head, tail) in ends.items())
-        known.update((p, known[low]) for p, low in lower.items() if p != low)
-        tried = list(plain)[:: self.CHECK_EVERY] + [p for p, low in lower.items() if low in ends and not p.isascii()]
-        for p, e in zip(tried, self.library.encode_batch_fast(tried, add_special_tokens=False) if tried else ()):
-            if known[p] != self.pack(e.ids):
-                raise ValueError(f"the library has other ids for {p!r}")
-
-    def values(self, texts: list[str]) -> list[bytes]:
+            packed, cut = ids.astype(f"<u{self.width}").tobytes(), [0, *(self.width * ends_here).tolist()]
+            known.update(zip(part, (packed[a:b] for a, b in zip(cut, cut[1:]))))
+        known.update((w, known[head] + known[tail]) for w, head, tail in ends)
+        again = fresh[:: self.CHECK_EVERY]
+        for w, _, _ in ends:
+            if not w.isascii() and not self.tried.issuperset(text := w.decode()):
+                self.tried.update(text)
+                again.append(w)
+        self._compare(again, [known[w] for w in again])
+
+    def _compare(self, pieces: list[bytes], own: list[bytes]) -> None:
+        for p, value, said in zip(pieces, own, self._said(pieces)):
+            if value != said:
+                raise ValueError(f"the library has other ids for {p[:200].decode('utf-8', 'replace')!r}")
+
+    def words(self, text: bytes) -> list[bytes]:
+        """What stands between blanks and line feeds, in small letters where that changes no ids."""
+        if not any(mark in text for mark in self.as_it_stands):
+            return text.lower().replace(b"\n", b" ").split(b" ")
+        return [w if any(mark in w for mark in self.as_it_stands) else w.lower() for w in text.replace(b"\n", b" ").split(b" ")]
+
+    def values(self, texts: list[str | bytes]) -> list[bytes]:
+        texts = [t.encode() if isinstance(t, str) else t for t in texts]
         if not self.by_word:
-            return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+            return self._said(texts)
+        cut = [self.words(t) for t in texts]
         if len(self.known) > REMEMBER // 2:  # what isn't met again before this half is full is forgotten
             self.known, self.before = {}, self.known
-        fresh = set(chain.from_iterable(cut)).difference(self.known)
-        again = fresh.intersection(self.before)
-        self.known.update((w, self.before[w]) for w in again)
-        self._learn(fresh - again)
+        self._learn(self._unknown(set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))))
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        k = next((k for k, t in enumerate(texts) if len(t) <= self.CHECK_BYTES), None)
+        if k is not None:
+            self._compare([texts[k]], [out[k]])
+        return out
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -333,7 +365,7 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
-def _grouped(rows: Iterator[tuple[int | None, str]], most: int = 2_000_000) -> Iterator[list[tuple[int | None, str]]]:
+def _grouped(rows: Iterator[tuple[int | None, bytes]], most: int = 2_000_000) -> Iterator[list[tuple[int | None, bytes]]]:
     group, size = [], 0
     for r in rows:
         group.append(r)
@@ -374,10 +406,10 @@ def write_shards(
                 f.write(data)
             done.append((name, part, len(done), len(shard.keys), shard.tokens, len(data)))
 
-        def rows() -> Iterator[tuple[int | None, str]]:
+        def rows() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield i, t or ""
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                    yield i, t or b""
 
         end, shard, last, ordinal = own.pack([end_id]), ShardWriter(end_id, own.width), object(), 0
         for group in _grouped(rows()):

@@ -70,6 +70,39 @@ def test_letters_whose_lower_case_is_more():
             assert own.values([text]) == [own.pack(own.library.encode(text, add_special_tokens=False).ids)], text
 
 
+def test_marks_that_only_small_letters_are_composed_with():
+    own = sstable.WordIds(WORDS)
+    for mark in ("\u0331", "\u0308", "\u030a", "\u030c", "\u0307", "\u0301", "\u0591\u030c"):
+        for letter in "HTWYJIA":
+            for text in (f"{letter}{mark}", f"x {letter}{mark}. {letter.lower()}{mark}", f"{letter}{mark}{letter}\n{letter}.", f"\u0370{letter}{mark}"):
+                assert own.values([text]) == [own.pack(own.library.encode(text, add_special_tokens=False).ids)], text
+
+
+def test_marks_behind_letters_stand_for_themselves(monkeypatch):
+    """Words with marks behind them are led back to their letters, so the library gets those alone, and once."""
+    own = sstable.WordIds(WORDS)
+    monkeypatch.setattr(own, "_compare", lambda pieces, own: None)
+    asked, said = [], own._said
+    monkeypatch.setattr(own, "_said", lambda pieces: asked.extend(pieces) or said(pieces))
+    texts = ["Ships!!! ships*** SHIPS'", "ships=, Ships_ ships...", "ships's *** don't! a!b ships<"]
+    assert own.values(texts) == [own.pack(own.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert set(asked) == {b"!!!", b"***", b"'", b"=,", b"_", b"...", b"ships's", b"don't!", b"a!b", b"ships<"} and len(asked) == len(set(asked))
+
+
+def test_wrong_ids_of_a_whole_text_are_found(monkeypatch):
+    own = sstable.WordIds(WORDS)
+    monkeypatch.setattr(own, "words", lambda text: text.split(b" ")[:-1])
+    with pytest.raises(ValueError, match="other ids"):
+        own.values(["ships were here"])
+
+
+def test_words_are_forgotten_and_known_again(monkeypatch):
+    monkeypatch.setattr(sstable, "REMEMBER", 4)
+    own = sstable.WordIds(WORDS)
+    for text in ("ships were here, and there!", "Boats, were. there", "", "ships, boats! \u00e9t\u00e9. \u00c9t\u00e9*", "were were"):
+        assert own.values([text, text]) == [own.pack(own.library.encode(text, add_special_tokens=False).ids)] * 2
+
+
 def test_other_tokenizers_are_not_cut_at_blanks(tmp_path):
     import json
 
