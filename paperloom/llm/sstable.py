@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import materialize, scratch_path
+from paperloom.llm.common import materialize, scratch_path, slices
 
 MAGIC = b"PLSSTAB1"
 FOOTER = struct.Struct("<QQQQQQIIII8s")
 BLOCK_BYTES, RESTART = 64 * 1024, 16
 SHARD_BYTES = 8 * 1024 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Bytes of ids after which a reader hands on its rows, and bytes of shards that a task reads.
+READ_BYTES, TASK_BYTES = 1 << 20, 32 << 20
 #: Distinct pieces of text that a worker remembers.
 REMEMBER = 1_000_000
 
@@ -344,12 +346,21 @@ class WordIds:
         texts = [t.encode() if isinstance(t, str) else t for t in texts]
         if not self.by_word:
             return self._said(texts)
-        cut = [self.words(t) for t in texts]
         if len(self.known) > REMEMBER // 2:  # what isn't met again before this half is full is forgotten
             self.known, self.before = {}, self.known
-        self._learn(self._unknown(set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
+        known, cut, missed = self.known, [], []
+        for t in texts:  # a text's words go once they are looked up, but for those that aren't known
+            words = self.words(t)
+            ids = list(map(known.get, words))
+            gaps = [k for k, value in enumerate(ids) if value is None]
+            cut.append(ids)
+            missed.append((gaps, [words[k] for k in gaps]))
+        self._learn(self._unknown(set(chain.from_iterable(words for _, words in missed))))
+        out = []
+        for ids, (gaps, words) in zip(cut, missed):
+            for k, w in zip(gaps, words):
+                ids[k] = known[w]
+            out.append(b"".join(ids))
         k = next((k for k, t in enumerate(texts) if len(t) <= self.CHECK_BYTES), None)
         if k is not None:
             self._compare([texts[k]], [out[k]])
@@ -407,7 +418,7 @@ def write_shards(
             done.append((name, part, len(done), len(shard.keys), shard.tokens, len(data)))
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                     yield i, t or b""
 
@@ -433,36 +444,55 @@ def write_shards(
     # Rows of one id are spread by their text, should one id hold very many.
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    return materialize(ordered.mapInArrow(run, schema), "manifest")
+    # One file of a row a shard, which its readers sort in one task anyway, and not one file for each task.
+    return materialize(ordered.mapInArrow(run, schema).repartition(1), "manifest")
+
+
+def _reader(f):
+    """``read`` of a ``Shard`` for an open file."""
+    size = f.size()
+    return lambda at, n: f.read_at(n, at if at >= 0 else size + at)
+
+
+def rows_of(shard: Shard, start: int) -> Iterator[list[tuple[int | None, int, bytes]]]:
+    """A shard's documents (id, start, ids as u32) in groups of about READ_BYTES, read a block at a time."""
+    rows, size = [], 0
+    for key, value in shard.entries():
+        rows.append((id_of(key), start, wide(value, shard.width)))
+        start += len(value) // shard.width
+        size += len(rows[-1][2])
+        if size >= READ_BYTES:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """What the shards hold, in one row per document: doc_id, start (ids before it), ids (little-endian u32)."""
+    """What the shards hold, in one row per document: doc_id, start (ids before it), ids (little-endian u32).
+
+    Tasks get names and read a block at a time, by pyarrow's file systems as the writers do: no shard is whole in memory.
+    """
     import pyarrow as pa
 
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(starts, "file")
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(files, max(spark.sparkContext.defaultParallelism, size // TASK_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        kinds = [pa.int64(), pa.int64(), pa.binary()]
+        store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content, start in zip(batch.column(0), batch.column(1).to_pylist()):
-                ids, at, values = [], [], []
-                shard = Shard.of(content.as_py())
-                for key, value in shard.entries():
-                    ids.append(id_of(key))
-                    at.append(start)
-                    values.append(wide(value, shard.width))
-                    start += len(value) // shard.width
-                    if len(ids) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "start", "ids"])
-                        ids, at, values = [], [], []
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "start", "ids"])
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_file(f"{base}/{name}") as f:
+                    for rows in rows_of(Shard(_reader(f)), start):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return files.select("content", "start").mapInArrow(run, schema)
+    return starts.repartition(tasks).mapInArrow(run, schema)
 
 
 def lookup(folder: str, files: list[str], doc_id: int | None) -> list[bytes]:
@@ -473,8 +503,7 @@ def lookup(folder: str, files: list[str], doc_id: int | None) -> list[bytes]:
     found = []
     for name in files:
         with store.open_input_file(f"{base}/{name}") as f:
-            size = f.size()
-            shard = Shard(lambda at, n: f.read_at(n, at if at >= 0 else size + at))
+            shard = Shard(_reader(f))
             found += [wide(v, shard.width) for v in shard.get(doc_id)]
     return found
 

@@ -157,6 +157,51 @@ def test_shards_on_rows(spark, odd_docs, monkeypatch):
     assert sstable.query(odd_docs.select("doc_id", "text").limit(0), WORDS).count() == 0
 
 
+def test_shards_are_read_a_block_at_a_time(spark, odd_docs):
+    """Neither Spark nor a worker holds a whole shard; before, both did."""
+    w, size = sstable.ShardWriter(1, 2), 40_000
+    for k in range(250):
+        w.add(sstable.key_of(k), struct.pack("<H", k) * (size // 2))
+    data, asked = w.finish(), []
+    whole = sstable.Shard.of(data).read
+    groups = list(sstable.rows_of(sstable.Shard(lambda at, n: asked.append(n) or whole(at, n)), 7))
+    assert [(i, s) for g in groups for i, s, _ in g] == [(k, 7 + k * size // 2) for k in range(250)]
+    assert all(ids == struct.pack("<I", i) * (size // 2) for g in groups for i, _, ids in g)
+    assert len(data) > 8 * sstable.READ_BYTES and max(asked) < sstable.BLOCK_BYTES + size + 1000
+    assert max(sum(len(ids) for _, _, ids in g) for g in groups) < sstable.READ_BYTES + 2 * size + 1
+    folder = scratch_path(spark, "blocks")
+    manifest = sstable.write_shards(odd_docs, WORDS, folder)
+    assert len(manifest.inputFiles()) == 1 < manifest.count()
+    rows = sstable.read_shards(spark, folder, manifest)
+    assert "binaryfile" not in rows._jdf.queryExecution().toString().lower() and rows.count() == odd_docs.count()
+
+
+def test_a_word_is_looked_up_once_and_kept_only_if_new(monkeypatch):
+    """Only words that aren't known are kept until the group is learnt."""
+
+    class Known(dict):
+        asked = 0
+
+        def get(self, w):
+            Known.asked += 1
+            return super().get(w)
+
+        def __getitem__(self, w):
+            Known.asked += 1
+            return super().__getitem__(w)
+
+        def __contains__(self, w):
+            Known.asked += 1
+            return super().__contains__(w)
+
+    own = sstable.WordIds(WORDS)
+    own.values(["ships were here"])
+    own.known = Known(own.known)
+    monkeypatch.setattr(own, "_compare", lambda pieces, own: None)
+    said = own.pack(own.library.encode("ships were here", add_special_tokens=False).ids)
+    assert own.values(["ships were here"] * 10) == [said] * 10 and Known.asked == 30
+
+
 def test_lookup_in_files(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("ship "), F.col("id").cast("string")).alias("text"))
     folder = scratch_path(spark, "lookup")
