@@ -5,11 +5,12 @@ first), takes the best pair, merges it, and puts the two pairs that the merge ma
 does so for one run with a heap; ``merge_many`` holds the agendas of many runs as rows of a matrix and takes the best
 pair of every row at once.
 
-The text is first cut where no merge can happen: in front of a run of the space mark, and around characters that no
-longer piece holds. The cuts are sound because merges only ever build pieces of the vocabulary; the model is examined
-for this when it is loaded. What a run gives is remembered in a bounded table. In each Arrow batch, the runs met for the
-first time are also encoded by the sentencepiece library, and a difference raises; ``check="texts"`` compares every
-whole text instead. Decoding is the library's ``decode(ids)``.
+The text is first cut where no merge can happen: in front of a run of the space mark, and between any two characters
+that stand side by side in no piece. The cuts are sound because merges only ever build pieces of the vocabulary; the
+model is examined for this when it is loaded. What a word gives, and what the runs between cuts give, is remembered in
+bounded tables; a full one keeps what was met most often. In each Arrow batch, the runs met for the first time are also
+encoded by the sentencepiece library, and so is one whole text of each group; a difference raises. ``check="texts"``
+compares every whole text instead. Decoding is the library's ``decode(ids)``.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,9 +30,10 @@ from pyspark.sql import types as T
 from paperloom.llm.common import append_columns
 
 SPACE = "▁"
-#: So many runs are remembered at most; then the table starts anew.
+#: So many words, and so many runs, are remembered at most; then a table keeps half of them, those met most often.
+#: One group's new ones may come on top.
 REMEMBER_RUNS = 120_000
-#: Runs up to this length share matrices of so many rows; longer ones are merged with a heap.
+#: Runs up to this length (63 at most) share matrices of so many rows; longer ones are merged with a heap.
 MATRIX_CHARS, MATRIX_ROWS = 48, 4_096
 NO_PAIR = np.iinfo(np.int32).max
 #: Texts are processed in groups of about so many characters.
@@ -63,6 +66,44 @@ def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class PairTable:
+    """A hash table of pairs of symbols, in which many are looked up at once."""
+
+    def __init__(self, pairs: np.ndarray):
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.index = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        left = np.arange(len(pairs), dtype=np.int32)
+        at = self._slot(pairs)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = pairs[left[free]]
+            mine = self.keys[at] == pairs[left]
+            self.index[at[mine]] = left[mine]
+            left, at = left[~mine], at[~mine] + 1 & self.mask
+
+    @staticmethod
+    def key(a, b):
+        return a << 21 | b
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Each pair's place among those that the table was made of, or -1."""
+        keys = self.key(a.astype(np.int64), b)
+        at = self._slot(keys)
+        met = self.keys[at]
+        other = np.flatnonzero((met != keys) & (met >= 0))
+        while len(other):
+            at[other] = at[other] + 1 & self.mask
+            now = met[other] = self.keys[at[other]]
+            other = other[(now != keys[other]) & (now >= 0)]
+        found = self.index[at]
+        found[met != keys] = -1
+        return found
+
+
 class MergeModel:
     """The pieces, scores and text rules of a merge-type model file."""
 
@@ -101,14 +142,16 @@ class MergeModel:
         self.size = n
         scores = sorted({x for x, _ in self.rank.values()})
         step = {x: k for k, x in enumerate(scores)}
+        if len(scores) >= 1 << 25:
+            raise ValueError("too many scores")
         pairs = sorted(
-            (self.rank[p[:k]][1] << 21 | self.rank[p[k:]][1], step[x], i)
+            (PairTable.key(self.rank[p[:k]][1], self.rank[p[k:]][1]), step[x], i)
             for p, (x, i) in self.rank.items()
             for k in range(1, len(p))
             if p[:k] in self.rank and p[k:] in self.rank
         )
         #: For two adjacent pieces: the place of their union's score among all scores, and its id.
-        self.pair_keys = np.array([x[0] for x in pairs] + [1 << 62], dtype=np.int64)
+        self.pairs = PairTable(np.array([x[0] for x in pairs], dtype=np.int64))
         self.pair_place = np.array([x[1] for x in pairs] + [NO_PAIR], dtype=np.int32)
         self.pair_id = np.array([x[2] for x in pairs] + [-1], dtype=np.int32)
         #: By code point: the id of the character's piece, or n + code point where it has none.
@@ -116,22 +159,35 @@ class MergeModel:
         for p, (_, i) in self.rank.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
-        longer = [p for p in self.rank if len(p) > 1]
-        if any(a != SPACE and b == SPACE for p in longer for a, b in zip(p, p[1:])):
+        self.symbol[ord(" ")] = self.symbol[ord(SPACE)]  # runs are kept with blanks, which take less room
+        beside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+        if any(x[0] != SPACE and x[1] == SPACE for x in beside):
             raise ValueError("a piece crosses a word boundary")
-        held = set(chain.from_iterable(longer))
-        #: ASCII characters that no longer piece holds stand alone.
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in held and chr(c) != " ")
-        self.newline_alone = "\n" not in held
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        #: The characters that stand side by side in a piece; between others no merge can happen.
+        self.beside = PairTable(np.array([PairTable.key(*self.symbol[[ord(x[0]), ord(x[1])]].tolist()) for x in beside], dtype=np.int64))
+        self.newline_alone = not any("\n" in x for x in beside)
+        self.cut = re.compile(" +[^ \n]*|\n[^ \n]*" if self.newline_alone else " +[^ ]*").findall
 
     def runs(self, text: str) -> list[str]:
-        """The text with its space marks, cut where no merge crosses."""
-        return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
+        """The text with a blank for each space mark, cut into words where no merge crosses."""
+        return self.cut(" " + text.replace(SPACE, " ")) if text else []
+
+    def cut_many(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The runs of many words, none empty, one after the other, and at which run each word starts."""
+        whole = "".join(words)
+        symbols = self.symbol[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        cuts = np.ones(len(symbols) + 1, dtype=bool)
+        cuts[1:-1] = self.beside.find(symbols[:-1], symbols[1:]) < 0
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        cuts[ends] = True
+        at = np.flatnonzero(cuts)
+        starts = np.searchsorted(at, np.concatenate([[0], ends[:-1]]))
+        at = at.tolist()
+        return [whole[a:b] for a, b in zip(at, at[1:])], starts
 
     def merge(self, run: str) -> list[int]:
         """Piece ids of one run, by an agenda of adjacent pairs."""
-        rank, symbols = self.rank, list(run)
+        rank, symbols = self.rank, list(run.replace(" ", SPACE))
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
@@ -159,37 +215,33 @@ class MergeModel:
             ids.extend([found[1]] if found else [self.bytes_id[b] for b in s.encode()])
         return ids
 
-
-    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = a.astype(np.int64) << 21 | b
-        at = np.searchsorted(self.pair_keys, keys)
-        at[self.pair_keys[at] != keys] = -1
-        return self.pair_place[at], self.pair_id[at]
-
     def _merge_rows(self, symbols: np.ndarray) -> None:
         """Merge every row in place; -1 marks no symbol (padding at the end, later what a merge has emptied)."""
         rows, n = symbols.shape
-        # All arrays are flat, n + 1 places a row; the last place takes what points past the end.
-        wide = np.concatenate([symbols, np.full((rows, 1), -1, dtype=np.int32)], axis=1).ravel()
-        places = np.arange(rows * (n + 1))
-        right, left = places + 1, places - 1
-        left[:: n + 1] = -1
-        agenda = np.full(rows * (n + 1), NO_PAIR, dtype=np.int32)
-        union = np.full(rows * (n + 1), -1, dtype=np.int32)
+        # All arrays are flat and transposed, n + 1 places by rows; the last places take what points past the end.
+        wide = np.full((n + 1) * rows, -1, dtype=np.int32)
+        wide[:-rows] = symbols.T.ravel()
+        places = np.arange((n + 1) * rows)
+        right, left = places + rows, places - rows
+        # An entry of the agenda is the place of a score and, below it, the column: the least of a row comes first.
+        agenda = np.full((n + 1) * rows, NO_PAIR, dtype=np.int32)
+        union = np.full((n + 1) * rows, -1, dtype=np.int32)
 
         def note(at: np.ndarray, after: np.ndarray) -> None:
-            agenda[at], union[at] = self._pairs(wide[at], wide[after])
-
-        first = np.flatnonzero((wide[:-1] >= 0) & (wide[1:] >= 0))
-        note(first, first + 1)
-        live = np.flatnonzero((agenda.reshape(rows, n + 1) < NO_PAIR).any(axis=1))
-        table = agenda.reshape(rows, n + 1)
-        while len(live):
-            a = table[live].argmin(axis=1) + live * (n + 1)
-            busy = agenda[a] < NO_PAIR
-            live, a = live[busy], a[busy]
+            found = self.pairs.find(wide[at], wide[after])
+            held = found >= 0
+            agenda[at] = np.where(held, self.pair_place[found] << 6 | at // rows, NO_PAIR)
+            union[at] = self.pair_id[found]
+
+        first = np.flatnonzero(wide[rows:] >= 0)
+        note(first, first + rows)
+        table = agenda.reshape(n + 1, rows)
+        while True:
+            best = table.min(axis=0)
+            live = np.flatnonzero(best < NO_PAIR)
             if not len(live):
                 break
+            a = (best[live] & 63) * rows + live
             b = right[a]
             c = right[b]
             wide[a] = union[a]
@@ -197,12 +249,10 @@ class MergeModel:
             agenda[a] = agenda[b] = NO_PAIR
             right[a] = c
             left[c] = a
-            ok = wide[c] >= 0
-            note(a[ok], c[ok])
             z = left[a]
-            ok = z >= 0
-            note(z[ok], a[ok])
-        symbols[:] = wide.reshape(rows, n + 1)[:, :-1]
+            after, before = wide[c] >= 0, z >= 0
+            note(np.concatenate([a[after], z[before]]), np.concatenate([c[after], a[before]]))
+        symbols[:] = wide[:-rows].reshape(n, rows).T
 
     def merge_many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of many runs, one after the other, and how many each has."""
@@ -242,54 +292,52 @@ class MergeModel:
 
 
 class Remembered:
-    """Piece ids of the runs met so far; ``spell`` turns a key into the characters to merge."""
+    """Piece ids of the keys met so far; ``learn`` gives those of new ones, one after the other, and how many each has."""
 
-    def __init__(self, codec: Codec, spell, shown):
-        self.codec, self.spell, self.shown = codec, spell, shown
-        self.forget()
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self.forget_all()
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
+    def forget_all(self) -> None:
+        #: Numbers of the keys; one that is looked up and new gets the next.
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: In how many lookups a key was met, halved whenever the table was full.
+        self.met = np.zeros(0, np.int32)
 
-    def _learn(self, keys: list[str]) -> None:
-        ids, counts = self.codec.model.merge_many([self.spell(k) for k in keys])
-        starts = np.cumsum(counts) - counts
-        if self.codec.check == "runs":
-            # The library puts a space mark in front; what has none is shown to it behind a line feed.
-            shown = [self.shown(k) for k in keys]
-            look = [i for i, s in enumerate(shown) if s is not None]
-            said = self.codec.library.encode([shown[i][0] for i in look], num_threads=1)
-            said = [ids[shown[i][1] :] if shown[i][1] else ids for i, ids in zip(look, said)]
-            here = np.zeros(len(keys), dtype=bool)
-            here[look] = True
-            theirs = np.fromiter(chain.from_iterable(said), dtype=np.int32)
-            ours = ids[np.repeat(here, counts)]
-            if list(map(len, said)) != counts[here].tolist() or not np.array_equal(theirs, ours):
-                wrong = next(i for i, x in zip(look, said) if x != ids[starts[i] : starts[i] + counts[i]].tolist())
-                raise ValueError(f"the agenda and the library differ on {keys[wrong]!r}")
-        base = len(self.place)
-        self.place.update(zip(keys, range(base, base + len(keys))))
-        self.start = np.concatenate([self.start, starts + len(self.pool)])
-        self.count = np.concatenate([self.count, counts])
-        self.pool = np.concatenate([self.pool, ids])
-
-    def ids(self, keyed: list[list[str]]) -> list[list[int]]:
-        flat = list(chain.from_iterable(keyed))
-        got = list(map(self.place.get, flat))
-        fresh = {k for k, c in zip(flat, got) if c is None}
-        if fresh:
-            if len(self.place) + len(fresh) > REMEMBER_RUNS:
-                self.forget()
-                fresh = set(flat)
-            self._learn(list(fresh))
-            got = list(map(self.place.__getitem__, flat))
-        at = np.array(got, dtype=np.int64)
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.count[at]
         before = np.cumsum(counts) - counts
-        out = self.pool[np.repeat(self.start[at] - before, counts) + np.arange(int(counts.sum()))].tolist()
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, keyed)])].tolist()
-        return [out[a:b] for a, b in zip(ends, ends[1:])]
+        return self.pool[np.repeat(self.start[at] - before, counts) + np.arange(int(counts.sum()))], counts
+
+    def forget(self) -> None:
+        """Keep what was met most often, and more than once, up to half a table."""
+        often = np.argsort(-self.met, kind="stable")[: REMEMBER_RUNS // 2]
+        often = np.sort(often[self.met[often] > 1])
+        keys = list(self.place)
+        self.place = defaultdict(count(len(often)).__next__, zip([keys[k] for k in often.tolist()], range(len(often))))
+        self.pool, self.count = self._gather(often)
+        self.start, self.met = np.cumsum(self.count) - self.count, self.met[often] // 2
+
+    def ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known = len(self.place)
+        try:
+            at = np.fromiter(map(self.place.__getitem__, keys), dtype=np.int64, count=len(keys))
+            if len(self.place) > known:
+                fresh = list(islice(reversed(self.place), len(self.place) - known))[::-1]
+                ids, counts = self.learn(fresh)
+                self.start = np.concatenate([self.start, np.cumsum(counts) - counts + len(self.pool)])
+                self.count = np.concatenate([self.count, counts])
+                self.pool = np.concatenate([self.pool, ids])
+                self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int32)])
+        except BaseException:
+            self.forget_all()  # no key may stay without its ids
+            raise
+        self.met[at] += 1
+        found = self._gather(at)
+        if len(self.place) > REMEMBER_RUNS:
+            self.forget()
+        return found
 
 
 class Codec:
@@ -302,34 +350,64 @@ class Codec:
             raise ValueError("check is one of runs, texts, none")
         self.model, self.check = MergeModel(path), check
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        # Words: the keys lack the space mark, unless a line feed is in front.
-        self.words = Remembered(
-            self,
-            lambda k: k if k[:1] == "\n" else SPACE + k,
-            lambda k: (k, 1) if k[:1] == "\n" else (k, 0) if k else None,
-        )
-        self.runs = Remembered(
-            self,
-            lambda k: k,
-            lambda k: None if k == SPACE else (k[1:], 0) if k[0] == SPACE else ("\n" + k, 2) if self.model.newline_alone else None,
-        )
+        #: Words lack the blank in front, unless a line feed or another blank follows.
+        self.words, self.runs = Remembered(self._learn_words), Remembered(self._learn_runs)
+
+    def _learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs, starts = self.model.cut_many([w if w[:1] in ("\n", " ") else " " + w for w in words])
+        ids, counts = self.runs.ids(runs)
+        return ids, np.add.reduceat(counts, starts)
+
+    def _learn_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = self.model.merge_many(runs)
+        if self.check == "runs":
+            # The library puts a space mark in front; what has none is shown to it behind a line feed.
+            marked = np.fromiter((r[0] == " " for r in runs), dtype=bool, count=len(runs))
+            look = np.fromiter((r != " " for r in runs), dtype=bool, count=len(runs))
+            if not self.model.newline_alone:
+                look &= marked
+            said = self.library.encode([r[1:] if r[0] == " " else "\n" + r for r, shown in zip(runs, look.tolist()) if shown], num_threads=1)
+            theirs = np.fromiter(chain.from_iterable(said), dtype=np.int32)
+            sizes = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
+            skip = np.where(marked[look], 0, 2)
+            inside = np.arange(len(theirs)) >= np.repeat(np.cumsum(sizes) - sizes + skip, sizes)
+            if not np.array_equal(sizes - skip, counts[look]) or not np.array_equal(theirs[inside], ids[np.repeat(look, counts)]):
+                starts = np.cumsum(counts) - counts
+                wrong = next(i for i, x, k in zip(np.flatnonzero(look), said, skip) if x[k:] != ids[starts[i] : starts[i] + counts[i]].tolist())
+                raise ValueError(f"the agenda and the library differ on {runs[wrong]!r}")
+        return ids, counts
+
+    def _key(self, word: str) -> str:
+        return word[1:] if word[0] == " " and word[1:2] not in ("", "\n", " ") else word
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(texts)
-        words, odd = [], []
-        for i, t in enumerate(texts):
+        words, sizes = [], []
+        for t in texts:
             spread = t.replace("\n", " \n")
             plain = t and t[0] != " " and t[-1] != " " and "  " not in spread and SPACE not in t and self.model.newline_alone
-            (words if plain else odd).append((i, spread.split(" ") if plain else self.model.runs(t)))
-        for table, part in ((self.words, words), (self.runs, odd)):
-            for (i, _), ids in zip(part, table.ids([k for _, k in part]) if part else ()):
-                out[i] = ids
-        if self.check == "texts":
-            for text, ids, said in zip(texts, out, self.library.encode(texts, num_threads=1)):
-                if ids != said:
-                    raise ValueError(f"the agenda and the library differ on {text[:80]!r}")
+            found = spread.split(" ") if plain else list(map(self._key, self.model.runs(t)))
+            words += found
+            sizes.append(len(found))
+        if words:
+            ids, counts = self.words.ids(words)
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *sizes])].tolist()
+            ids = ids.tolist()
+            out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        else:
+            out = [[] for _ in texts]
+        whole = self._compared(texts)
+        for i, said in zip(whole, self.library.encode([texts[i] for i in whole], num_threads=1) if whole else ()):
+            if out[i] != said:
+                raise ValueError(f"the agenda and the library differ on {texts[i][:80]!r}")
         return out
 
+    def _compared(self, texts: list[str]) -> list[int]:
+        """The texts that are compared whole: all, or the shortest, which shows that the runs were cut rightly."""
+        if self.check == "texts":
+            return list(range(len(texts)))
+        filled = [i for i, t in enumerate(texts) if t]
+        return [min(filled, key=lambda i: len(texts[i]))] if self.check == "runs" and filled else []
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
 

@@ -42,6 +42,56 @@ def test_a_wrong_agenda_is_found(monkeypatch):
         own.encode(["ships were here"])
 
 
+PARTS = st.sampled_from(["▁the", "ships", "été", "Ein", "''", ",", ".", "***", "(", "12", "\n", " ", "  ", "日本", "e\u0301", "\x00", "🙂", "<0x0A>", "x" * 70])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=20).map("".join), max_size=5))
+def test_cuts_within_words_equal_the_library(texts):
+    own = sp.codec(PIECES, "texts")
+    assert own.encode(texts) == own.library.encode(texts)
+
+
+def _merged(own, monkeypatch):
+    asked, merge = [], own.model.merge_many
+    monkeypatch.setattr(own.model, "merge_many", lambda runs: asked.extend(runs) or merge(runs))
+    return asked
+
+
+def test_words_with_marks_behind_them_are_merged_once(monkeypatch):
+    own = sp.Codec(PIECES, "runs")
+    asked = _merged(own, monkeypatch)
+    texts = ["zships, zships. zships*** (zships) zships!?", "zships; zships\n zships@@"]
+    assert own.encode(texts) == own.library.encode(texts)
+    assert sorted(r for r in asked if "zships" in r) == [" zships", "zships"] and len(asked) == len(set(asked))
+
+
+def test_a_full_table_keeps_what_is_met_often(monkeypatch):
+    monkeypatch.setattr(sp, "REMEMBER_RUNS", 20)
+    own = sp.Codec(PIECES, "runs")
+    asked = _merged(own, monkeypatch)
+    for k in range(40):
+        texts = [f"zships {'qwrt'[k % 4]}{'aeiou' * (k + 1)}"]
+        assert own.encode(texts) == own.library.encode(texts)
+    assert asked.count(" zships") == 1 and len(own.words.place) < 30 and len(own.runs.place) < 30
+
+
+def test_a_difference_leaves_nothing_behind(monkeypatch):
+    own = sp.Codec(PIECES, "runs")
+    with monkeypatch.context() as m:
+        m.setattr(own.model, "merge_many", lambda runs: sp.MergeModel.merge_many(own.model, [r[:-1] for r in runs]))
+        with pytest.raises(ValueError, match="differ"):
+            own.encode(["ships were here"])
+    assert own.encode(["ships were here"]) == own.library.encode(["ships were here"])
+
+
+def test_a_wrong_cut_is_found(monkeypatch):
+    own = sp.Codec(PIECES, "runs")
+    monkeypatch.setattr(own.model.beside, "find", lambda a, b: sp.np.full(len(a), -1))
+    with pytest.raises(ValueError, match="differ"):
+        own.encode(["ships were here"])
+
+
 def test_codec_on_rows(spark, odd_docs, clashing):
     library = sp.codec(PIECES).library
     out = sp.encode_decode(odd_docs, PIECES, outputs=("ids", "decoded", "n_tokens")).collect()
