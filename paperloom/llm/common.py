@@ -119,16 +119,26 @@ def numbered(docs: DataFrame) -> DataFrame:
     return frame.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
 
 
-def picked(frame: DataFrame, marks: DataFrame, names: Sequence[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def picked(
+    frame: DataFrame,
+    marks: DataFrame,
+    names: Sequence[str],
+    keep: Callable[[DataFrame], DataFrame],
+    make: Callable[[], Callable[..., tuple]] | None = None,
+    fields: Sequence[T.StructField] = (),
+) -> DataFrame:
     """The columns ``names`` of the rows of ``frame`` (from ``numbered``) that ``marks`` (FILE, PLACE, times) names, each
     ``times`` times. Texts aren't shuffled: marks are written in one folder a file, and a task reads those of its file.
 
+    With ``make`` and ``fields``, as those of ``append_columns``, what is computed of the columns comes in their stead. It
+    is so in the same pass, as a second one in a stage would take another worker process for each core, which stays.
     Where pyarrow can't open the shared folder, the rows are joined instead. ``keep`` is that of the ``scratch`` block.
     """
     from pyarrow import fs
 
     spark = frame.sparkSession
-    schema = T.StructType([frame.schema[c] for c in names])
+    schema = T.StructType(list(fields) if make else [frame.schema[c] for c in names])
+    then = _computed(make, range(len(names)), {}, fields) if make else None
     times = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
     marks = marks.select(F.lower(F.hex(F.xxhash64(FILE))).alias("bin"), F.col(FILE).alias("file"), F.col(PLACE).alias("place"), "times")
     marks = marks.repartition("bin").sortWithinPartitions("bin", "file", "place")
@@ -138,7 +148,8 @@ def picked(frame: DataFrame, marks: DataFrame, names: Sequence[str], keep: Calla
         fs.FileSystem.from_uri(folder)
     except Exception:  # a scheme that only Spark's readers know
         both = (F.col(FILE) == F.col("file")) & (F.col(PLACE) == F.col("place"))
-        return keep(frame.join(written, both).withColumn("__pl_times", times).select(*[F.col(f"`{c}`") for c in names]))
+        joined = keep(frame.join(written, both).withColumn("__pl_times", times).select(*[F.col(f"`{c}`") for c in names]))
+        return joined.mapInArrow(then, schema) if then else joined
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -171,7 +182,7 @@ def picked(frame: DataFrame, marks: DataFrame, names: Sequence[str], keep: Calla
 
     own = frame.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], FILE, PLACE)
     keep(written)
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
 
 def _spark_hash(text: str) -> str:
@@ -214,6 +225,27 @@ def slices(batch) -> Iterator:
             yield part
 
 
+def _computed(make: Callable[[], Callable[..., tuple]], inputs: Sequence, carried: dict, fields: Sequence[T.StructField]) -> Callable[[Iterator], Iterator]:
+    """A pass over Arrow batches: the columns ``carried`` (by new name) and what ``make()`` computes of the columns ``inputs``."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = [*carried, *(f.name for f in fields)]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for whole in batches:
+            for batch in slices(whole):
+                out = compute(*[batch.column(i).to_pylist() for i in inputs])
+                arrays = [batch.column(c) for c in carried.values()] + [pa.array(v, type=k) for v, k in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        del compute
+        give_back()
+
+    return run
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -226,26 +258,10 @@ def append_columns(
     ``make()`` runs once a task and returns ``compute(*lists) -> tuple of lists``, one per field. ``keep`` names the
     columns to carry (default: all). A carried column whose name equals a new one is replaced by it.
     """
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    names = [f.name for f in fields]
-    lower = {n.lower() for n in names}
+    lower = {f.name.lower() for f in fields}
     carried = [c for c in (keep if keep is not None else df.columns) if c.lower() not in lower]
     extra = [c for c in inputs if c not in carried]
     frame = df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(extra)])
     at = {c: c for c in carried} | {c: f"__in_{i}" for i, c in enumerate(extra)}
-    kinds = [to_arrow_type(f.dataType) for f in fields]
     schema = T.StructType([df.schema[c] for c in carried] + list(fields))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = make()
-        for whole in batches:
-            for batch in slices(whole):
-                out = compute(*[batch.column(at[c]).to_pylist() for c in inputs])
-                arrays = [batch.column(c) for c in carried] + [pa.array(v, type=k) for v, k in zip(out, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
-        del compute
-        give_back()
-
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(_computed(make, [at[c] for c in inputs], {c: c for c in carried}, fields), schema)

@@ -253,7 +253,7 @@ def similar(frame: DataFrame, nodes: DataFrame, text_col: str, keep) -> DataFram
         return compute
 
     fields = [T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())]
-    sets = materialize(append_columns(picked(frame, wanted, [text_col], keep), [text_col], make, fields, keep=[]), "sets")
+    sets = materialize(picked(frame, wanted, [text_col], keep, make, fields), "sets")
     members = members.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
     sizes = members.groupBy("cluster").agg(*_extent()).select("cluster", _tiles(F.col("m"), F.col("b")).alias("tiles"))
     members = materialize(members.join(sizes, "cluster").select("cluster", "tiles", "node", "bytes"), "members")

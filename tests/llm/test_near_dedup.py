@@ -52,3 +52,28 @@ def test_near_dedup_rows(spark, odd_docs, clashing):
     ids = [r["doc_id"] for r in out.collect()]
     assert out.columns == clashing.columns and len(ids) == len(set(ids)) and 1 in ids and 2 not in ids and 3 not in ids
     assert near_dedup.near_dedup(odd_docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("opens", [True, False])
+def test_near_dedup_takes_one_worker_a_core(spark, monkeypatch, opens):
+    """No written stage has two Arrow passes, each of which holds a worker process; also where pyarrow can't open the folder."""
+    plans = []
+
+    class Closed:
+        @staticmethod
+        def from_uri(uri):
+            raise ValueError(uri)
+
+    def seen(df, name, **more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("MapInArrow ")))
+        return materialize(df, name, **more)
+
+    materialize = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", seen)
+    if not opens:
+        monkeypatch.setattr("pyarrow.fs.FileSystem", Closed)
+    texts = [lorem(s % 9, 90) + " more" * (s // 9) for s in range(30)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r["doc_id"] for r in near_dedup.near_dedup(df).collect())
+    assert kept == plain_least(texts)[0] and len(kept) < 30
+    assert {name for name, n in plans if n} >= {"fingerprints", "sets", "links-0"} and max(n for _, n in plans) == 1
